@@ -147,7 +147,8 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, .
     goals = written(targets(places, weights, max_passes), "mix-targets")
     blocks = _taken_blocks(goals, block_words, max_passes, seed)
     cut = pieces(places, block_words)
-    joined = cut.join(blocks, F.col("source").eqNullSafe(F.col("mix source")) & (F.col("block") == F.col("mix block")), "left")
+    # the optimiser sizes the slots by the few rows they are made from, so it is told to shuffle
+    joined = cut.join(blocks.hint("merge"), F.col("source").eqNullSafe(F.col("mix source")) & (F.col("block") == F.col("mix block")), "left")
     taken = joined.groupBy("source", "at", "doc_id", "size").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
     g = goals.withColumnRenamed("source", "goal source")
     out = taken.join(g, F.col("source").eqNullSafe(F.col("goal source")))
