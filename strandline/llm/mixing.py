@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import word_array, word_count, written
+from strandline.llm.common import word_count, written
 
 WEIGHTS = (1, 2, 3)
 MAX_PASSES = 3
@@ -52,7 +52,7 @@ def packed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     s, t = ranked.alias("s"), starts.alias("t")
     placed = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source")) & (F.col("s.bucket") == F.col("t.bucket")))
     at = F.struct(F.col("s.bucket"), F.col("s.rank"))
-    return placed.select(*[F.col(f"s.`{c}`") for c in keep], "s.source", "s.size", at.alias("at"), (F.col("t.start") + F.col("s.within")).alias("offset"))
+    return placed.select(*[F.col(f"s.`{c}`") for c in keep], "s.source", "s.size", "s.text hash", at.alias("at"), (F.col("t.start") + F.col("s.within")).alias("offset"))
 
 
 def targets(places: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -153,3 +153,41 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, .
     g = goals.withColumnRenamed("source", "goal source")
     out = taken.join(g, F.col("source").eqNullSafe(F.col("goal source")))
     return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, seed: int = 7) -> DataFrame:
+    """The mix as documents: the columns of ``docs``, one row for each time that
+    words of a document are taken.
+
+    The c-th row of a document holds its words in blocks taken c times or more,
+    in order, with the white space before them; a document taken whole keeps its
+    text as it is. ``n_chars``, where there is one, follows the text. Documents
+    that the mix does not take, and documents without words, have no row.
+    """
+    names = docs.columns
+    places = written(packed(docs), "mix-places")
+    goals = written(targets(places, weights, max_passes), "mix-targets")
+    blocks = _taken_blocks(goals, block_words, max_passes, seed)
+    cut = pieces(places, block_words)
+    joined = cut.join(blocks.hint("merge"), F.col("source").eqNullSafe(F.col("mix source")) & (F.col("block") == F.col("mix block")))
+    parts = joined.groupBy("source", "at", "doc_id", "text hash", "size").agg(F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("parts"))
+    twin = Window.partitionBy("doc_id", "source", "text hash").orderBy("at")
+    parts = parts.withColumn("twin", F.row_number().over(twin))
+    parts = written(parts.select(F.col("source").alias("p source"), F.col("doc_id").alias("p id"), F.col("text hash").alias("p hash"), "twin", "size", "parts"), "mix-parts")
+    twins = written(places.groupBy("doc_id", "source", "text hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "mix-twins")
+    row = docs.select(F.struct(*names).alias("row"), F.xxhash64("text").alias("hash"))
+    if twins.isEmpty():
+        row = row.withColumn("nth", F.lit(1))
+    else:
+        own = Window.partitionBy("row.doc_id", "row.source", "hash").orderBy(F.xxhash64("row"))
+        row = row.withColumn("nth", F.row_number().over(own))
+    same = F.col("row.doc_id").eqNullSafe(F.col("p id")) & F.col("row.source").eqNullSafe(F.col("p source")) & (F.col("hash") == F.col("p hash")) & (F.col("nth") == F.col("twin"))
+    taken = row.join(parts.hint("shuffle_hash"), same).select("row", "size", "parts", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("parts", lambda x: x["times"])).cast("int"))).alias("copy"))
+    taken = taken.withColumn("own", F.filter("parts", lambda x: x["times"] >= F.col("copy")))
+    whole = F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["words"]) == F.col("size")
+    each = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
+    taken = taken.withColumn("each", F.when(~whole, each))
+    some = F.array_join(F.transform("own", lambda x: F.array_join(F.slice("each", (x["first"] + 1).cast("int"), x["words"].cast("int")), "")), "")
+    taken = taken.withColumn("mixed text", F.when(F.col("each").isNull(), F.col("row.text")).otherwise(some))
+    new = {"text": F.col("mixed text"), "n_chars": F.length("mixed text").cast("long")}
+    return taken.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"row.`{c}`") for c in names])
