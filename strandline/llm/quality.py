@@ -132,4 +132,7 @@ def filtered(docs: DataFrame, policy: str = "web-2") -> DataFrame:
     """
     names = docs.columns
     keyed = docs.select(F.col("text"), F.struct(*names).alias("doc_id"))
-    return judged(keyed, policy).where("kept").select("doc_id.*")
+    # the row number keeps the filter above the measurements: pushed below them,
+    # it would repeat each of them wherever another one uses it
+    rows = judged(keyed, policy).withColumn("row number", F.monotonically_increasing_id())
+    return rows.where(F.col("kept") & (F.col("row number") >= 0)).select("doc_id.*")
