@@ -8,8 +8,10 @@ readers split files by stripe and skip what a filter on doc_id rules out.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,34 +26,57 @@ END_ID = 1
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1_000
 #: Distinct words kept with their ids by one Python worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class WordIds:
     """Ids of whole texts from ids of their words.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids
-    are its words' ids in order; a word is encoded once while it is cached.
+    The tokenizer lower-cases, drops white space, and no token crosses it, so a
+    text's ids are its words' ids in order, and case need not be told apart. A
+    final comma or full stop behind a letter is a token run of its own. Words
+    used lately are kept, in two generations of CACHE_WORDS at most.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Makes ids of all ``words`` known."""
+        for w in words & self.old.keys():
+            self.known[w] = self.old[w]
+        stem = {w: w[:-1] if w[-1:] in b",." and w[-2:-1].isalpha() else w for w in words - self.known.keys()}
+        fresh = list((set(stem.values()) | {b",", b"."}) - self.known.keys())
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<i4").tobytes()
+        for w, base in stem.items():
+            if base is not w:
+                self.known[w] = self.known[base] + self.known[w[-1:]]
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]  # at ASCII white space alone
+        # at ASCII white space alone; special tokens are matched before lower-casing
+        split = [(t.encode() if "<|" in t else t.encode().lower()).split() for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        if new := list(set().union(*split).difference(self.known)):
-            for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<i4").tobytes()
+            self.old, self.known = self.known, {}
+        self._learn(set().union(*split).difference(self.known))
         end = np.array([END_ID], "<i4").tobytes()
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)) + end, "<i4") for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, so that its words serve the worker's next tasks."""
+    return WordIds(path)
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, shards: int) -> DataFrame:
     """shard, doc_id, within (ids of the shard before it), n_tokens, ids."""
     id_type = docs.schema["doc_id"].dataType
@@ -61,7 +86,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, shards: int) -> DataFrame:
     ])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, at, shard = WordIds(tokenizer_path), 0, TaskContext.get().partitionId()
+        ids, at, shard = word_ids(tokenizer_path), 0, TaskContext.get().partitionId()
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
@@ -102,7 +127,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = totals.alias("a").join(totals.alias("b"), F.col("b.shard") < F.col("a.shard"), "left")
     offsets = before.groupBy(F.col("a.shard").alias("shard")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return rows.join(offsets, "shard").withColumn("start", F.col("before") + F.col("within")).drop("before")
+    # one row a shard, and a shard is a file: the offsets are small at any size
+    return rows.join(F.broadcast(offsets), "shard").withColumn("start", F.col("before") + F.col("within")).drop("before")
 
 
 def checksums(rows: DataFrame) -> DataFrame:
