@@ -183,5 +183,6 @@ def unique_row_ids(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     occurrence, of each row's distinct value."""
     first = df.groupBy(*keys).agg(F.min(order).alias("first"))
     ids = first.withColumn("id", F.row_number().over(Window.orderBy("first")).cast("long"))
-    cond = [df[k].eqNullSafe(ids[k]) for k in keys]
-    return df.join(ids, cond).select(*[df[c] for c in df.columns], "id")
+    a, b = df.alias("a"), ids.alias("b")
+    joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    return joined.select(*[F.col(f"a.{c}") for c in df.columns], "b.id")

@@ -76,8 +76,8 @@ def group_names(model: GeneModel) -> DataFrame:
 
 def introns_by_transcript(model: GeneModel, use_names: bool = False) -> DataFrame:
     """What a transcript's range has outside its exons, numbered by position.
-    Transcripts without introns have no rows; ``group_names`` lists them all."""
-    tx = model["transcript"]
+    Transcripts without introns or without exons have no rows."""
+    tx = model["transcript"].join(model["splicing"], "_tx_id", "left_semi")
     exons = _by_tx(model, "exon").select("group_id", "start", "end")
     edge = tx.select(F.col("_tx_id").alias("group_id"), F.col("tx_end").alias("stop"), F.col("tx_start").alias("first"), F.col("tx_chrom").alias("seqnames"), F.col("tx_strand").alias("strand"))
     # one more, empty, exon behind the transcript's end closes its last gap

@@ -28,3 +28,15 @@ def overlap_counts(stream: DataFrame, exons: DataFrame, window: str = "1 day", l
     first = F.greatest(F.col("l_bin"), div(F.col("s"), bin_width))
     hits = left.join(right, ["seqnames", "bin"]).where((F.col("bin") == first) & (F.col("start") <= F.col("e")) & (F.col("end") >= F.col("s")) & strands_agree(F.col("strand"), F.col("x")))
     return hits.groupBy(F.window("ts", window).alias("w"), "seqnames").agg(F.count(F.lit(1)).alias("n_overlaps"))
+
+
+def overlap_counts_of(spark: SparkSession, sf_dir: str, exons: DataFrame, checkpoint: str | None = None) -> DataFrame:
+    """Runs the stream over what is there and returns day, seqnames and count.
+
+    Complete mode keeps every window, so nothing waits for a later watermark."""
+    name = f"overlap_counts_{spark.sparkContext.defaultParallelism}_{abs(hash((sf_dir, id(exons))))}"
+    counts = overlap_counts(read_stream(spark, sf_dir), exons)
+    writer = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
+    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    query.awaitTermination()
+    return spark.table(name).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "seqnames", "n_overlaps")
