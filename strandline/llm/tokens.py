@@ -29,13 +29,21 @@ ROW_INDEX_STRIDE = 1_000
 CACHE_WORDS = 200_000
 
 
+#: Byte-level alphabet: printable bytes stand for themselves, the others for
+#: the characters from 256 on, in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_MARKS = ".,!?;:*#%&$|<>()[]{}\"-_/+=~@^`\\"
+
+
 class WordIds:
     """Ids of whole texts from ids of their words.
 
     The tokenizer lower-cases, drops white space, and no token crosses it, so a
     text's ids are its words' ids in order, and case need not be told apart. A
-    final comma or full stop behind a letter is a token run of its own. Words
-    used lately are kept, in two generations of CACHE_WORDS at most.
+    word of Latin letters alone is one piece for the tokenizer's model, and
+    marks behind its last letter are another; other words take the whole
+    tokenizer. Words used lately are kept, in two generations of CACHE_WORDS.
     """
 
     def __init__(self, path: str):
@@ -43,29 +51,53 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a lower-case word of Latin letters."""
+        key = word.encode()
+        if (found := self.known.get(key) or self.old.get(key)) is None:
+            piece = key.decode("latin-1").translate(_ALPHABET)
+            found = np.array([t.id for t in self.model.tokenize(piece)], "<i4").tobytes()
+        self.known[key] = found
+        return found
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: set[bytes]) -> None:
         """Makes ids of all ``words`` known."""
-        for w in words & self.old.keys():
-            self.known[w] = self.old[w]
-        stem = {w: w[:-1] if w[-1:] in b",." and w[-2:-1].isalpha() else w for w in words - self.known.keys()}
-        fresh = list((set(stem.values()) | {b",", b"."}) - self.known.keys())
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<i4").tobytes()
-        for w, base in stem.items():
-            if base is not w:
-                self.known[w] = self.known[base] + self.known[w[-1:]]
+        rest = []
+        for key in words:
+            if key in self.known:
+                continue
+            if (found := self.old.get(key)) is not None:
+                self.known[key] = found
+                continue
+            word = key.decode()
+            base = word.rstrip(_MARKS)
+            if base.isalpha() and max(base) < "\u0100" and "<|" not in word:
+                tail = word[len(base) :]
+                if tail not in self.marks:
+                    if len(self.marks) > 10_000:
+                        self.marks = {"": b""}
+                    self.marks[tail] = self._whole([tail])[0]
+                self.known[key] = self._letters(base.lower()) + self.marks[tail]
+            else:
+                rest.append(key)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            self.known.update(zip(part, self._whole([w.decode() for w in part]), strict=True))
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         # at ASCII white space alone; special tokens are matched before lower-casing
         split = [(t.encode() if "<|" in t else t.encode().lower()).split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.old, self.known = self.known, {}
-        self._learn(set().union(*split).difference(self.known))
+        self._learn(set().union(*split))
         end = np.array([END_ID], "<i4").tobytes()
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)) + end, "<i4") for words in split]
