@@ -22,14 +22,14 @@ def _attribute(name: str) -> Column:
 
 
 def read_gff3(spark: SparkSession, path: str) -> DataFrame:
-    """The feature rows: seqid, type, start, end, strand, phase, ID, Parent (array), Name."""
+    """The feature rows: seqid, type, start, end, strand, phase, feature (the ID), Parent (array), Name."""
     rows = spark.read.csv(path, sep="\t", comment="#", schema=_COLUMNS, quote="", escape="", mode="DROPMALFORMED")
     rows = rows.where("start IS NOT NULL AND attributes IS NOT NULL")
     parents = F.split(F.regexp_extract("attributes", r"(?:^|;)\s*Parent=([^;]*)", 1), ",")
     return rows.select(
         F.url_decode(F.replace("seqid", F.lit("+"), F.lit("%2B"))).alias("seqid"), "type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
         F.when(F.col("strand").isin("+", "-"), F.col("strand")).otherwise("*").alias("strand"), F.expr("try_cast(phase AS bigint)").alias("phase"),
-        _attribute("ID").alias("ID"), F.filter(parents, lambda p: p != "").alias("Parent"), _attribute("Name").alias("Name"),
+        _attribute("ID").alias("feature"), F.filter(parents, lambda p: p != "").alias("Parent"), _attribute("Name").alias("Name"),
     )
 
 
@@ -44,12 +44,12 @@ def from_gff3(spark: SparkSession, path: str) -> GeneModel:
     """
     rows = read_gff3(spark, path)
     place = [F.col("seqid").alias("chrom"), "strand", "start", "end"]
-    found = rows.where(F.col("type").isin(*TRANSCRIPT_TYPES) & F.col("ID").isNotNull()).select("ID", F.coalesce("Name", "ID").alias("tx_name"), F.col("type").alias("tx_type"), *place, "Parent")
-    order = ["chrom", "strand", "start", "end", "tx_name", "ID"]
+    found = rows.where(F.col("type").isin(*TRANSCRIPT_TYPES) & F.col("feature").isNotNull()).select("feature", F.coalesce("Name", "feature").alias("tx_name"), F.col("type").alias("tx_type"), *place, "Parent")
+    order = ["chrom", "strand", "start", "end", "tx_name", "feature"]
     tx = found.join(dense_ids(found, order, ["chrom", "strand"], "start").withColumnRenamed("id", "_tx_id"), order)
-    parts = rows.select("*", F.explode("Parent").alias("of")).join(tx.select(F.col("ID").alias("of"), "_tx_id"), "of")
-    exons = parts.where(F.col("type").isin(*EXON_TYPES)).select("_tx_id", F.coalesce("Name", "ID").alias("exon_name"), *place)
-    cds = parts.where("type = 'CDS'").select("_tx_id", F.coalesce("Name", "ID").alias("cds_name"), *place, "phase")
+    parts = rows.select("*", F.explode("Parent").alias("of")).join(tx.select(F.col("feature").alias("of"), "_tx_id"), "of")
+    exons = parts.where(F.col("type").isin(*EXON_TYPES)).select("_tx_id", F.coalesce("Name", "feature").alias("exon_name"), *place)
+    cds = parts.where("type = 'CDS'").select("_tx_id", F.coalesce("Name", "feature").alias("cds_name"), *place, "phase")
     bare = tx.join(exons, "_tx_id", "left_anti")
     from_cds = cds.join(bare.select("_tx_id"), "_tx_id", "left_semi").select("_tx_id", F.lit(None).cast("string").alias("exon_name"), "chrom", "strand", "start", "end")
     alone = bare.join(cds, "_tx_id", "left_anti").select("_tx_id", F.lit(None).cast("string").alias("exon_name"), "chrom", "strand", "start", "end")
@@ -63,7 +63,7 @@ def from_gff3(spark: SparkSession, path: str) -> GeneModel:
     c = cds.join(cds_table.select(*keys, F.col("id").alias("_cds_id")), keys).alias("c")
     held = (F.col("x._tx_id") == F.col("c._tx_id")) & (F.col("c.start") >= F.col("x.start")) & (F.col("c.end") <= F.col("x.end"))
     splicing = x.join(c, held, "left").select("x._tx_id", "x.exon_rank", "x._exon_id", "c._cds_id", F.col("c.phase").alias("cds_phase"))
-    genes = rows.where(F.col("type").isin(*GENE_TYPES)).select(F.col("ID").alias("gene"), F.coalesce("Name", "ID").alias("gene_id"))
+    genes = rows.where(F.col("type").isin(*GENE_TYPES)).select(F.col("feature").alias("gene"), F.coalesce("Name", "feature").alias("gene_id"))
     gene = tx.select("_tx_id", F.explode("Parent").alias("gene")).join(genes, "gene").select("gene_id", "_tx_id").distinct()
     feature = lambda df, p: df.select(F.col("id").alias(f"_{p}_id"), f"{p}_name", F.col("chrom").alias(f"{p}_chrom"), F.col("strand").alias(f"{p}_strand"), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"))
     tx_table = tx.select("_tx_id", "tx_name", "tx_type", F.col("chrom").alias("tx_chrom"), F.col("strand").alias("tx_strand"), F.col("start").alias("tx_start"), F.col("end").alias("tx_end"))
