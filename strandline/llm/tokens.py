@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,47 +55,51 @@ class WordIds:
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {}
 
-    def _letters(self, word: str) -> bytes:
+    def _letters(self, word: str, key: bytes) -> bytes:
         """Ids of a lower-case word of Latin letters."""
-        key = word.encode()
-        if (found := self.known.get(key) or self.old.get(key)) is None:
-            piece = key.decode("latin-1").translate(_ALPHABET)
-            found = np.array([t.id for t in self.model.tokenize(piece)], "<i4").tobytes()
+        found = self.known.get(key) or self.old.get(key)
+        if found is None:
+            piece = word if word.isascii() else key.decode("latin-1").translate(_ALPHABET)
+            found = array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
         self.known[key] = found
         return found
 
     def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: set[bytes]) -> None:
         """Makes ids of all ``words`` known."""
-        rest = []
-        for key in words:
-            if key in self.known:
-                continue
-            if (found := self.old.get(key)) is not None:
-                self.known[key] = found
+        known, old, rest = self.known, self.old, []
+        for key in [w for w in words if w not in known]:
+            if key in old:
+                known[key] = old[key]
                 continue
             word = key.decode()
-            base = word.rstrip(_MARKS)
-            if base.isalpha() and max(base) < "\u0100" and "<|" not in word:
+            base = word if word[-1] not in _MARKS else word.rstrip(_MARKS)
+            latin = base.isascii() or max(base) < "\u0100"
+            if not (latin and base.isalpha()) or "<|" in word:
+                rest.append(key)
+            elif base is word:
+                low = word if word.isascii() else word.lower()
+                known[key] = self._letters(low, key if low is word else low.encode())
+            else:
                 tail = word[len(base) :]
                 if tail not in self.marks:
                     if len(self.marks) > 10_000:
-                        self.marks = {"": b""}
+                        self.marks.clear()
                     self.marks[tail] = self._whole([tail])[0]
-                self.known[key] = self._letters(base.lower()) + self.marks[tail]
-            else:
-                rest.append(key)
+                low = base.lower()
+                known[key] = self._letters(low, low.encode()) + self.marks[tail]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            self.known.update(zip(part, self._whole([w.decode() for w in part]), strict=True))
+            known.update(zip(part, self._whole([w.decode() for w in part]), strict=True))
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids, with the end id, of every text (UTF-8)."""
         # at ASCII white space alone; special tokens are matched before lower-casing
-        split = [(t.encode() if "<|" in t else t.encode().lower()).split() for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.old, self.known = self.known, {}
         self._learn(set().union(*split))
@@ -120,9 +125,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, shards: int) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, at, shard = word_ids(tokenizer_path), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                rows = ids.of([t or "" for t in part.column(1).to_pylist()])
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                rows = ids.of([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
                 sizes = np.array([len(r) for r in rows], np.int64)
                 ends = np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(rows)))

@@ -247,7 +247,7 @@ def test_word_ids(text):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    assert tokens.WordIds(path).of([text])[0].tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
+    assert tokens.WordIds(path).of([text.encode()])[0].tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
 
 
 def test_substrings(docs, rows):
