@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from strandline.llm import classifier, decontaminate, html, mixing, pii, quality, secret_scan, simhash, substrings, tokens
+from strandline.llm import classifier, decontaminate, html, mixing, oracles, pii, quality, secret_scan, simhash, substrings, tokens
 from strandline.llm.common import table
 
 
@@ -63,4 +63,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins where SQL has the means; the others are tested by brute force."""
+    return dict(oracles.SQL)
