@@ -82,8 +82,8 @@ class WordIds:
             if not (latin and base.isalpha()) or "<|" in word:
                 rest.append(key)
             elif base is word:
-                low = word if word.isascii() else word.lower()
-                known[key] = self._letters(low, key if low is word else low.encode())
+                low = word.lower()
+                known[key] = self._letters(low, key if low == word else low.encode())
             else:
                 tail = word[len(base) :]
                 if tail not in self.marks:

@@ -250,6 +250,19 @@ def test_word_ids(text):
     assert tokens.WordIds(path).of([text.encode()])[0].tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
 
 
+@pytest.mark.parametrize("text", ["Hello THE <|x <|endoftext|> World", "THE Hello, <| World!", "\u00c9T\u00c9 Na\u00efve <|x|> Plain. plain"])
+def test_word_ids_with_case(text):
+    """Texts with '<|' keep their case, so their plain words do too."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
+    ids = tokens.WordIds(path)
+    assert ids.of([text.encode(), text.encode()])[1].tolist() == want
+    assert ids.of([b"hello world the plain", text.encode()])[1].tolist() == want
+
+
 def test_substrings(docs, rows):
     got = {r["doc_id"]: r for r in substrings.repeated(docs).collect()}
     by = defaultdict(set)
