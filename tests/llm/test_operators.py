@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strandline.llm import classifier, decontaminate, html, mixing, pii, quality, secret_scan, simhash, substrings, tokens
+from strandline.llm import classifier, decontaminate, html, mixing, nearcopies, pii, quality, secret_scan, simhash, substrings, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -110,6 +110,42 @@ def test_deduplicated(docs, empty):
     assert simhash.deduplicated(empty).collect() == []
 
 
+def test_near_copies(spark, docs, empty):
+    """The stage of the pipeline keeps one row of each component of five-word Jaccard 0.8."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    made = []
+    for n in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 50_000, 200)]
+        made.append((1000 + 10 * n, " ".join(base), "en", "s", 0))
+        for c in range(1, 6):
+            copy = list(base)
+            for at in rng.choice(200, c + 1, replace=False):
+                copy[at] = f"new{n}x{c}x{at}"
+            made.append((1000 + 10 * n + c, " ".join(copy), "en", "s", 0))
+    made += [(7, "a b c", "en", "s", 0), (8, "A  b c", "en", "s", 0), (9, "a b d", "en", "s", 0)]
+    frame = docs.union(spark.createDataFrame(made + made[:2], SCHEMA))
+    rows = sorted({(r["doc_id"], r["text"] or "") for r in frame.collect()}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t.lower())) else set() for _, t in rows]
+    by = defaultdict(list)
+    for i, x in enumerate(sets):
+        for g in x or {()}:
+            by[g].append(i)
+    pairs = {(v[0], b) if len(sets[b]) == 0 else (a, b) for v in by.values() for n, b in enumerate(v) for a in v[:n]}
+    near = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) > 200
+    of = roots(len(rows), near)
+    groups = defaultdict(set)
+    for i, r in enumerate(of):
+        groups[r].add(rows[i][0])
+    want = Counter(min(g, key=lambda i: (i is None, i or 0)) for g in groups.values())
+    got = corpus_pipeline.near_dedup(spark, frame, "")
+    assert got.columns == frame.columns
+    assert Counter(r["doc_id"] for r in got.collect()) == want
+    assert corpus_pipeline.near_dedup(spark, empty, "").collect() == []
+
+
 BASE_PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
