@@ -324,6 +324,37 @@ def test_substrings(docs, rows):
             lines[i].append((a, b))
 
 
+def test_passages_to_their_ends(spark):
+    """Spans cover every window that two documents share in a passage of 47 words or more."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    texts = []
+    for n, size in enumerate((47, 50, 60, 100, 200, 75)):
+        passage = fresh(size)
+        texts += [[*fresh(60), *passage, *fresh(60)], [*fresh(5), *passage, *fresh(70)]]
+        if n == 4:  # a third copy of a part, which comes first by id
+            texts.insert(0, [*fresh(40), *passage[70:130], *fresh(40)])
+    # broken into lines of under 40 words, so that no line is a paragraph
+    texts = ["".join(w + ("\n" if k % 13 == 12 else " ") for k, w in enumerate(t)) for t in texts]
+    got = {r["doc_id"]: r for r in substrings.repeated(spark.createDataFrame([(n, t, "en", "s", 0) for n, t in enumerate(texts)], SCHEMA)).collect()}
+    found = defaultdict(list)
+    for i, text in enumerate(texts):
+        w = list(re.finditer(r"\S+", text))
+        for k in range(len(w) - 19):
+            found[tuple(x[0] for x in w[k : k + 20])].append((i, w[k].start(), w[k + 19].end()))
+    whole, gone = defaultdict(set), defaultdict(set)
+    for v in found.values():
+        for i, a, b in v if len({i for i, _, _ in v}) > 1 else []:
+            whole[i] |= set(range(a, b))
+            if i != min(v)[0]:
+                gone[i] |= set(range(a, b))
+    assert set(got) == set(whole)
+    for i, r in got.items():
+        for name, want in (("repeated", whole), ("removed", gone)):
+            spans = [tuple(map(int, x.split(":"))) for x in r[name].split(",") if x]
+            assert {c for a, b in spans for c in range(a, b)} == want[i]
+
+
 def test_near_lines(spark):
     rng = np.random.default_rng(5)
     line = [f"w{n}" for n in rng.integers(0, 10_000, 80)]
