@@ -17,18 +17,20 @@ def _mark(edges: DataFrame) -> tuple[int, int, int]:
     return row["n"], row["x"], row["s"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node goes to the node's least neighbour."""
+def _large_star(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Every neighbour above a node goes to the node's least neighbour. The least
+    ones are a written table: both sides of the join are then plain exchanges,
+    and the rows of a hub can be split over tasks."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("v", "u").alias("m")), name)
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Every neighbour below a node, and the node, go to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m")), name)
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.union(least.select("a", F.col("m").alias("b"))).distinct(), least
 
 
 def components(links: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
@@ -43,8 +45,12 @@ def components(links: DataFrame, a: str, b: str, name: str = "components") -> Da
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = _mark(edges)
     while mark[0]:
-        after = written(_small_star(_large_star(edges)), name)
-        dropped(edges)
+        large, one = _large_star(edges, name)
+        large = written(large, name)
+        small, two = _small_star(large, name)
+        after = written(small, name)
+        for old in (edges, one, large, two):
+            dropped(old)
         edges, before, mark = after, mark, _mark(after)
         if mark == before:
             break

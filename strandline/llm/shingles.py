@@ -62,6 +62,15 @@ class Words:
             out = out * _STEP[salt] + self.hashes[i : i + n]
         return mixed(out)
 
+    def spans(self, first: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+        """Hash of the words from each ``first`` to before its ``end``; two salts
+        give unrelated hashes."""
+        up, down = _grown(len(self) + 1)
+        own = mixed(self.hashes + _STEP[1]) if salt else self.hashes
+        sums = np.zeros(len(self) + 1, np.uint64)
+        np.cumsum(own * up[: len(self)], out=sums[1:])
+        return mixed((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
+
     def window(self, i: int, k: int) -> bytes:
         return b" ".join(self.data[s:e] for s, e in zip(self.starts[i : i + k].tolist(), self.ends[i : i + k].tolist(), strict=True))
 
