@@ -1,20 +1,26 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are labelled documents of good quality; the unlabelled set is
-the web text itself. A linear model of style features minimises the
-non-negative unbiased risk (Kiryo et al. 2017) with the logistic loss,
-
-    prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]),
-
-so its sigmoid estimates the chance of label 1. The class prior is estimated
-from the labels. Features come from one pass over all texts; only the fit reads
-bounded samples.
+the web text itself, all of it. A linear model g over style features, cut at
+their quantiles, and hashed n-grams minimises the non-negative unbiased risk
+(Kiryo et al. 2017) with the squared loss l(z) = (1 - z)^2 / 4,
+
+    prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]).
+
+With that loss the risk depends on the data through first and second moments
+only. Spark sums them over every row, and what the driver solves has a fixed
+size at any scale: nothing is sampled. The class prior is estimated from
+positives and unlabelled rows alone: for any threshold, the unlabelled rows
+above it are at least the prior times the positives above it (Blanchard et al.
+2010), so the least ratio of the two tails bounds it. Negative labels are
+never read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +33,26 @@ from strandline.llm.shingles import Words
 
 FOLDS = 5
 THRESHOLD = 0.3
-#: Most labelled and most unlabelled rows that a fit reads: those of the least
-#: hash of the id. Scores cover every row whatever these are.
-MAX_LABELLED = 20_000
-MAX_UNLABELLED = 40_000
 FEATURES = ("length", "symbols", "capitals", "digits", "exclaims", "word_length", "distinct", "repeated", "repeated_lines", "short_words", "doubled", "very_short")
-CLIP = 6.0
+#: Buckets of the hashed word n-grams (one and two words), and of the hashed
+#: runs of three bytes.
+GRAMS = 64
+#: Style features become steps at these quantiles of the corpus.
+QUANTILES = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98)
+BINS = 400
+#: The prior's tails need so many positives in share, which keeps the ratio steady.
+LEAST_TAIL = 0.7
+#: Ridge, and what is added to it over the number of positives: few of them would
+#: be told from the rest by chance, which lowers the estimated prior.
+RIDGE, ROUGH_RIDGE, FIT_RIDGE = 1e-3, 60.0, 15.0
+#: Score as a function of g: 0.3, 0.5 and 0.7 where the chance of label 1,
+#: (g + 1) / 2, is that, and strictly rising everywhere.
+SLOPE = float(np.log(0.7 / 0.3) / 0.4)
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 
 
-def features(text: str | None) -> list[float]:
+def features(words: Words, text: str | None) -> list[float]:
     """Style features of a text; null and empty texts have them too."""
-    words = Words(text)
     n = len(words)
     raw = (text or "").encode("utf-8", "surrogatepass")
     count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
@@ -67,14 +81,28 @@ def features(text: str | None) -> list[float]:
     ]
 
 
+def grams(words: Words) -> np.ndarray:
+    """Shares of the buckets of word n-grams and of three-byte runs, as roots."""
+    raw = np.frombuffer(words.data, np.uint8).astype(np.uint32)
+    three = raw[:-2] * np.uint32(0x9E3779B1) + raw[1:-1] * np.uint32(0x85EBCA77) + raw[2:] * np.uint32(0xC2B2AE3D) if len(raw) > 2 else raw[:0]
+    both = np.concatenate([words.hashes, words.windows(2)]) if len(words) else np.zeros(0, np.uint64)
+    counts = [np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=GRAMS) for h in (both, three.astype(np.uint64) << np.uint64(32))]
+    return np.concatenate([np.sqrt(c / max(1, c.sum())) for c in counts]).astype(np.float32)
+
+
 def featured(docs: DataFrame) -> DataFrame:
-    """doc_id and one double column for each of FEATURES."""
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(f, T.DoubleType()) for f in FEATURES)])
+    """doc_id, ``style`` (one double for each of FEATURES) and ``grams``."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("style", T.ArrayType(T.DoubleType())), T.StructField("grams", T.ArrayType(T.FloatType()))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([features(t.as_py()) for t in batch.column(1)], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], schema.names)
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                each = [(t, Words(t)) for t in part.column(1).to_pylist()]
+                style = np.array([features(w, t) for t, w in each], np.float64)
+                hashed = np.array([grams(w) for _, w in each], np.float32)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (style, hashed)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(apply, schema)
 
@@ -84,75 +112,143 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+def knots(rows: DataFrame) -> np.ndarray:
+    """The QUANTILES of every style feature over all rows, a row a feature."""
+    cuts = F.array(*map(F.lit, QUANTILES))
+    row = rows.agg(*[F.percentile_approx(F.col("style")[n], cuts, 1000).alias(f) for n, f in enumerate(FEATURES)]).first()
+    return np.array([row[f] if row[f] is not None else [0.0] * len(QUANTILES) for f in FEATURES], np.float64)
+
+
+def design(batch: pa.RecordBatch, cuts: np.ndarray) -> np.ndarray:
+    """The model's inputs: steps of the style features, n-grams, and one."""
+    n = batch.num_rows
+    style = batch.column("style").flatten().to_numpy(zero_copy_only=False).reshape(n, len(FEATURES))
+    hashed = batch.column("grams").flatten().to_numpy(zero_copy_only=False).reshape(n, 2 * GRAMS)
+    steps = (style[:, :, None] > cuts[None]).reshape(n, -1)
+    return np.hstack([steps, hashed, np.ones((n, 1))]).astype(np.float64)
+
+
+def moments(rows: DataFrame, cuts: np.ndarray) -> tuple[int, np.ndarray]:
+    """Rows, and the mean of the inputs' outer products, over all ``rows``.
+
+    Every task sums its own rows; the sums are added up by entry on Spark, and
+    the driver gets one number for each pair of inputs.
+    """
+    d = cuts.size + 2 * GRAMS + 1
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, d))
+        for batch in batches:
+            for first in range(0, batch.num_rows, 4096):
+                x = design(batch.slice(first, 4096), cuts)
+                total += x.T @ x
+        upper = np.triu_indices(d)
+        if total[-1, -1]:
+            yield pa.RecordBatch.from_arrays([pa.array(upper[0] * d + upper[1], pa.int64()), pa.array(total[upper])], ["at", "sum"])
+
+    sums = rows.select("style", "grams").mapInArrow(apply, "at long, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).toPandas()
+    out = np.zeros(d * d)
+    out[sums["at"].to_numpy(np.int64)] = sums["sum"].to_numpy()
+    out = out.reshape(d, d)
+    out = out + np.triu(out, 1).T
+    n = int(round(out[-1, -1]))
+    return n, out / max(1, n)
+
+
 @dataclass(frozen=True)
 class Model:
-    mean: np.ndarray
-    scale: np.ndarray
+    cuts: np.ndarray
     weights: np.ndarray
-    bias: float
     prior: float
 
-    def score(self) -> Column:
-        """The score as a column over the feature columns."""
-        total = F.lit(float(self.bias))
-        for f, m, s, w in zip(FEATURES, self.mean, self.scale, self.weights, strict=True):
-            z = (F.col(f) - float(m)) / float(s)
-            total = total + F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), z)) * float(w)
-        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))
-
-
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Minimises the non-negative risk by Adam over the whole samples; where the
-    corrected part turns negative, its gradient is followed upwards instead."""
-    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6
-    p, u = (np.hstack([np.clip((x - mean) / scale, -CLIP, CLIP), np.ones((len(x), 1))]) for x in (positive, unlabelled))
-    w, m1, m2 = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
-    loss = lambda z: np.logaddexp(0, -z)
-    slope = lambda z: -1 / (1 + np.exp(np.clip(z, -30, 30)))  # noqa: E731  derivative of loss
-    for step in range(1, steps + 1):
-        gp, gu = p @ w, u @ w
-        rest = loss(-gu).mean() - prior * loss(-gp).mean()
-        d_rest = -(u.T @ slope(-gu)) / len(u) + prior * (p.T @ slope(-gp)) / len(p)
-        d = prior * (p.T @ slope(gp)) / len(p) + d_rest if rest >= 0 else -d_rest
-        d = d + decay * np.append(w[:-1], 0)
-        m1, m2 = 0.9 * m1 + 0.1 * d, 0.999 * m2 + 0.001 * d * d
-        w = w - rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, w[:-1], float(w[-1]), prior)
-
-
-def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    """At most ``most`` rows: those of the least hash. All but about that many
-    are sifted out by the hash first, so tasks hand on few rows at any size."""
-    rows = rows.withColumn("turn", F.xxhash64(F.lit(11), "doc_id"))
-    share = min(1.0, (1.1 * most + 1000) / max(1, rows.count()))
-    sifted = rows if share == 1 else rows.where(F.col("turn") <= int(-(2**63) + share * 2**64))
-    picked = sifted.orderBy("turn", *FEATURES).limit(most).select(*FEATURES)
-    return np.array([list(r) for r in picked.collect()], np.float64).reshape(-1, len(FEATURES))
-
-
-def fitted(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """A model from the rows and labels outside the held-out fold."""
+    def raw(self, rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+        """The columns ``keep`` of every row, and ``g``."""
+        schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("g", T.DoubleType())])
+        return rows.select(*keep, "style", "grams").mapInArrow(partial(_applied, self.cuts, self.weights, len(keep), schema.names), schema)
+
+
+def _applied(cuts: np.ndarray, weights: np.ndarray, keep: int, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, 4096):
+            part = batch.slice(first, 4096)
+            yield pa.RecordBatch.from_arrays([*part.columns[:keep], pa.array(design(part, cuts) @ weights)], names)
+
+
+def estimated_prior(positive: DataFrame, unlabelled: DataFrame) -> float:
+    """The least ratio of the unlabelled tail to the positive one, of the scores
+    ``g`` in BINS steps, where the positive tail is LEAST_TAIL or more."""
+    step = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("g") + 2) * (BINS / 4)))).cast("int")
+
+    def tail(rows: DataFrame) -> np.ndarray:
+        counts = np.zeros(BINS)
+        for r in rows.groupBy(step.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts[r["bin"]] = r["n"]
+        return counts[::-1].cumsum()[::-1] / max(1, counts.sum())
+
+    p, u = tail(positive), tail(unlabelled)
+    return float(np.clip((u / np.maximum(p, 1e-9))[p >= LEAST_TAIL].min(initial=1.0), 0.02, 0.98))
+
+
+def risk(w: np.ndarray, prior: float, p: np.ndarray, u: np.ndarray) -> tuple[float, float]:
+    """The two parts of the risk at ``w``: of positives, and the corrected one of
+    unlabelled rows, from the moments."""
+    one = np.zeros(len(w))
+    one[-1] = 1.0
+    loss = lambda m, sign: float((one - sign * w) @ m @ (one - sign * w)) / 4
+    return prior * loss(p, 1), loss(u, -1) - prior * loss(p, -1)
+
+
+def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, ridge: float = RIDGE, steps: int = 500) -> np.ndarray:
+    """The weights of least non-negative risk, from the moments of positives and
+    of unlabelled rows.
+
+    Where the corrected part is not negative the risk is one quadratic, solved
+    at once. If its minimum lies where that part is negative, descent goes on
+    from zero weights by Newton-scaled steps, and upwards in the corrected part
+    wherever it has turned negative, as the method has it.
+    """
+    mp, mu = p[-1], u[-1]
+    flat = np.eye(len(mu)) * ridge
+    flat[-1, -1] = 0.0
+    w = np.linalg.solve(u / 2 + flat, prior * mp - mu / 2)
+    if risk(w, prior, p, u)[1] >= 0:
+        return w
+    scale = np.linalg.inv(u / 2 + prior * p / 2 + flat + 1e-9 * np.eye(len(mu)))
+    w = np.zeros(len(mu))
+    for _ in range(steps):
+        good = prior * (p @ w - mp) / 2
+        rest = (u @ w + mu) / 2 - prior * (p @ w + mp) / 2
+        down = good + rest if risk(w, prior, p, u)[1] >= 0 else -rest
+        w = w - 0.1 * scale @ (down + flat @ w)
+    return w
+
+
+def fitted(rows: DataFrame, labels: DataFrame) -> Model:
+    """A model from all rows outside the held-out fold, and the positives there."""
     learn = rows.where(fold(F.col("doc_id")) != 0)
-    marks = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("label id"), "quality")
-    known = learn.join(marks, F.col("doc_id") == F.col("label id"))
-    share = known.agg(F.avg("quality").alias("prior")).first()["prior"]
-    positive, unlabelled = _sample(known.where("quality = 1"), max_labelled), _sample(learn, max_unlabelled)
-    prior = float(np.clip(0.5 if share is None else share, 0.02, 0.98))
-    if not len(positive) or not len(unlabelled):
-        k = len(FEATURES)
-        return Model(np.zeros(k), np.ones(k), np.zeros(k), float(np.log(prior / (1 - prior))), prior)
-    return fit_pu(positive, unlabelled, prior)
+    marks = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("label id")).distinct()
+    positive = learn.join(marks, F.col("doc_id") == F.col("label id"), "left_semi")
+    cuts = knots(learn)
+    n_p, p = moments(positive, cuts)
+    n_u, u = moments(learn, cuts)
+    if not n_p or not n_u:
+        return Model(cuts, np.zeros(cuts.size + 2 * GRAMS + 1), 0.5)
+    first = np.linalg.solve((p + u) / 2 + (RIDGE + ROUGH_RIDGE / n_p) * np.eye(len(p)), (p[-1] - u[-1]) / 2)
+    rough = Model(cuts, first, 0.5)
+    prior = estimated_prior(rough.raw(positive, ()), rough.raw(learn, ()))
+    return Model(cuts, fit_pu(p, u, prior, RIDGE + FIT_RIDGE / n_p), prior)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of ``docs``.
 
     Null and empty texts get the score of their features; a null id counts as
-    the empty text for the folds; repeated rows stay; other columns are ignored;
-    without usable labels every score is the prior; an empty table gives an
-    empty result.
+    the empty text for the folds; repeated rows stay; very long texts are read
+    whole; other columns are ignored; without positive labels every score is
+    0.5; an empty table gives an empty result.
     """
     rows = written(featured(docs), "quality-features")
     model = fitted(rows, labels)
-    out = rows.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), model.score().alias("score"))
+    score = 1 / (1 + F.exp(-SLOPE * F.greatest(F.lit(-15.0), F.least(F.lit(15.0), F.col("g")))))
+    out = model.raw(rows, ("doc_id",)).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

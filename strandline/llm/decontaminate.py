@@ -1,21 +1,22 @@
 """Benchmark items inside documents: size-partitioned MinHash containment.
 
 Containment of a short item in a long document is hopeless for plain MinHash
-bands, as their Jaccard similarity is near zero. So only the items are
-sketched: each item keeps the ``k`` shingles with the least hashes, where ``k``
-follows from its size class: an item of n shingles of which a match has at
-least 0.8 n can miss m = n - ceil(0.8 n), so the m + 1 least ones cannot all be
-missing. Documents look up all their shingles in that sketch, which finds every
-match, and the item's shingles then decide exactly.
-
-The benchmark is cut into blocks of bounded rows and bytes; each block is
-broadcast to one pass over the documents. No row of the documents is shuffled.
+bands, as their Jaccard similarity is near zero. So only the items are sketched,
+by size class: class c has the items of 2^c to 2^(c+1) - 1 shingles. A match may
+miss a fifth of an item's shingles, at most ``missed(c)`` in the class. Items of
+the class keep their missed(c) + HITS[c] least hashes, so a match has HITS[c] of
+them at least. Documents look up all their shingles in the sketches by an
+equality join; those with enough hits are verified on the shingles themselves.
+
+The sketch table is broadcast only where a count shows that it is small, and
+shuffled otherwise. Documents meet their candidates by key, so no text passes
+through the driver, and no row of the benchmark does.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import total_bytes
+from strandline.llm.common import written
 from strandline.llm.shingles import Words
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
-#: Most items, and bytes of their texts, in one broadcast block.
-BLOCK_ITEMS = 50_000
-BLOCK_BYTES = 16 << 20
+#: Least sketch rows that a match shares, by size class: small items have none to
+#: spare, larger ones are told from a common phrase by more than one.
+HITS = (1, 1, 1, 2, 2, 3)
+#: Most rows of the sketch table (two longs and an int each) in one broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def needed(n: int, containment: float) -> int:
@@ -43,69 +46,99 @@ def size_class(n: int) -> int:
     return n.bit_length() - 1
 
 
-class Sketches:
-    """One block of items: sketches by shingle width and size class."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]], k: int, containment: float):
-        self.ids, self.sets, self.least = [], [], []
-        parts: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for item_id, text in items:
-            words = Words(text)
-            if not len(words):
-                continue
-            width = min(k, len(words))
-            shingles = words.window_set(width)
-            hashes = np.unique(words.windows(width))
-            n, nth = len(shingles), len(self.ids)
-            self.ids.append(item_id)
-            self.sets.append((width, shingles))
-            self.least.append(needed(n, containment))
-            sketch = hashes[: n - self.least[-1] + 1]
-            parts.setdefault((width, size_class(n)), []).extend((h, nth) for h in sketch.tolist())
-        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for (width, _), entries in sorted(parts.items()):
-            entries.sort()
-            pair = np.array([h for h, _ in entries], np.uint64), np.array([i for _, i in entries], np.int64)
-            self.parts.setdefault(width, []).append(pair)
-
-    def found(self, text: str | None) -> list[tuple[int, int]]:
-        """(number of the item, shingles shared) of every item in the text."""
-        words, out = Words(text), []
-        for width, parts in self.parts.items():
-            own = words.windows(width)
-            if not len(own):
-                continue
-            near: set[int] = set()
-            for hashes, items in parts:
-                at = np.searchsorted(hashes, own)
-                hit = np.unique(own[hashes[np.minimum(at, len(hashes) - 1)] == own])
-                for lo, hi in zip(np.searchsorted(hashes, hit).tolist(), np.searchsorted(hashes, hit, "right").tolist(), strict=True):
-                    near.update(items[lo:hi].tolist())
-            if near:
-                mine = words.window_set(width) if len(words) >= width else set()
-                for i in sorted(near):
-                    if (shared := len(self.sets[i][1] & mine)) >= self.least[i]:
-                        out.append((i, shared))
-        return out
-
-
-def _blocks(benchmark: DataFrame, k: int, containment: float) -> Iterator[Sketches]:
-    """The benchmark in blocks; its size is checked before anything is gathered."""
-    rows, size = total_bytes(benchmark, "text")
-    n = max(1, -(-rows // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
-    for b in range(n):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).select("item_id", "text")
-        yield Sketches([(r["item_id"], r["text"]) for r in part.collect()], k, containment)
-
-
-def _scan(docs: DataFrame, block: Sketches, make: Callable, names: list[str], schema: T.StructType) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def sketch_size(c: int, containment: float) -> int:
+    """Hashes that the items of class ``c`` keep."""
+    most = (2 << c) - 1
+    return most - needed(most, containment) + HITS[min(c, len(HITS) - 1)]
+
+
+def items(benchmark: DataFrame, k: int = SHINGLE_WORDS, containment: float = CONTAINMENT) -> DataFrame:
+    """item (the text's hash), text, class, width, ``hits`` (least sketch rows of
+    a match) and ``sketch`` of every distinct text that has words."""
+    schema = "item long, text string, class int, width int, hits int, sketch array<long>"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from make(batch, [shared.value.found(t.as_py()) for t in batch.column(0)], shared.value)
+            rows = []
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = Words(text)
+                if not len(words):
+                    continue
+                width = min(k, len(words))
+                hashes = np.unique(words.windows(width))
+                n = len(hashes)
+                sketch = hashes[: sketch_size(size_class(n), containment)]
+                hits = max(1, len(sketch) - (n - needed(n, containment)))
+                rows.append((item, text, size_class(n), width, hits, sketch.view(np.int64).tolist()))
+            if rows:
+                types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["item", "text", "class", "width", "hits", "sketch"])
+
+    texts = benchmark.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("item"), "text").distinct()
+    return written(texts.mapInArrow(apply, schema), "leak-items")
+
+
+def _lookups(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, text_hash, width and ``hash`` of every distinct shingle."""
+    long = T.LongType()
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("text_hash", long), T.StructField("width", T.IntegerType()), T.StructField("hashes", T.ArrayType(long))])
 
-    return docs.select(F.col("text").alias("scanned text"), *names).mapInArrow(apply, schema)
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                words = [Words(t) for t in part.column(2).to_pylist()]
+                for width in widths:
+                    found = [w.windows(width).view(np.int64) for w in words]
+                    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(np.full(len(part), width, np.int32)), lists], schema.names)
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(apply, schema)
+    return rows.select("doc_id", "text_hash", "width", F.explode("hashes").alias("hash"))
+
+
+def candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, text_hash, item of the pairs that share enough sketch rows."""
+    sketch = written(known.select("item", "hits", "width", F.explode("sketch").alias("hash")), "leak-sketch")
+    widths = sorted(r["width"] for r in known.select("width").distinct().collect())  # SHINGLE_WORDS rows at most
+    if sketch.count() <= BROADCAST_ROWS:
+        sketch = F.broadcast(sketch)
+    met = _lookups(docs, widths).join(sketch, ["width", "hash"]).select("doc_id", "text_hash", "item", "hits", "hash").distinct()
+    return met.groupBy("doc_id", "text_hash", "item", "hits").agg(F.count(F.lit(1)).alias("n")).where("n >= hits").select("doc_id", "text_hash", "item")
+
+
+def verified(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, text_hash, item, n_shared, n_item of every match, one row for each
+    row of ``docs`` with it."""
+    known = items(benchmark, k, containment)
+    found = candidates(docs, known).join(known.select("item", F.struct("item", "text").alias("x")), "item")
+    by_doc = found.groupBy("doc_id", "text_hash").agg(F.collect_list("x").alias("xs")).withColumnsRenamed({"doc_id": "c id", "text_hash": "c hash"})
+    by_doc = written(by_doc, "leak-candidates")
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    near = d.join(by_doc, F.col("doc_id").eqNullSafe(F.col("c id")) & (F.col("text_hash") == F.col("c hash"))).select("doc_id", "text_hash", "text", "xs")
+    long = T.LongType()
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, long) for c in ("text_hash", "item", "n_shared", "n_item"))])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for nth in range(batch.num_rows):
+                words, own = Words(batch.column(2)[nth].as_py()), {}
+                for x in batch.column(3)[nth].as_py():
+                    item = Words(x["text"])
+                    width = min(k, len(item))
+                    if width not in own:
+                        own[width] = words.window_set(width) if len(words) >= width else set()
+                    theirs = item.window_set(width)
+                    if (shared := len(theirs & own[width])) >= needed(len(theirs), containment):
+                        rows.append((nth, x["item"], shared, len(theirs)))
+            if rows:
+                nth, *rest = zip(*rows, strict=True)
+                ids = [batch.column(c).take(pa.array(nth)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, *[pa.array(c, pa.int64()) for c in rest]], schema.names)
+
+    return near.mapInArrow(apply, schema)
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS, containment: float = CONTAINMENT) -> DataFrame:
@@ -115,37 +148,17 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS
     Shingles are distinct windows of five words, A-Z lower-cased; an item of
     fewer words is one shingle of all its words. Null and empty texts match
     nothing; null ids are reported as null; repeated rows give repeated results;
-    other columns are ignored; an empty table gives an empty result.
+    very long texts are looked up whole; other columns are ignored; an empty
+    table gives an empty result.
     """
-    schema = T.StructType([
-        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType),
-        T.StructField("n_shared", T.LongType()), T.StructField("n_item", T.LongType()), T.StructField("containment", T.DoubleType()),
-    ])
-
-    def make(batch: pa.RecordBatch, found: list, block: Sketches) -> Iterator[pa.RecordBatch]:
-        rows = [(nth, i, shared) for nth, hits in enumerate(found) for i, shared in hits]
-        if rows:
-            sizes = [len(block.sets[i][1]) for _, i, _ in rows]
-            ids = batch.column(1).take(pa.array([nth for nth, _, _ in rows]))
-            share = [s / n for (_, _, s), n in zip(rows, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([block.ids[i] for _, i, _ in rows]), pa.array([s for _, _, s in rows]), pa.array(sizes), pa.array(share)], schema.names)
-
-    out = None
-    for block in _blocks(benchmark, k, containment):
-        part = _scan(docs, block, make, ["doc_id"], schema)
-        out = part if out is None else out.union(part)
-    return out
+    found = verified(docs, benchmark, k, containment)
+    ids = benchmark.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("item"), "item_id")
+    return found.join(ids, "item").select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS, containment: float = CONTAINMENT) -> DataFrame:
-    """``docs`` without the rows that hold an item; all columns stay."""
-    names = docs.columns
-
-    def make(batch: pa.RecordBatch, found: list, block: Sketches) -> Iterator[pa.RecordBatch]:
-        keep = batch.select(names).filter(pa.array([not hits for hits in found], pa.bool_()))
-        if keep.num_rows:
-            yield keep
-
-    for block in _blocks(benchmark, k, containment):
-        docs = _scan(docs, block, make, names, docs.schema)
-    return docs
+    """``docs`` without the rows that hold an item; all columns stay, whatever
+    their names. Other rows are treated as by ``contaminations``."""
+    dirty = verified(docs, benchmark, k, containment).select(F.col("doc_id").alias("dirty id"), F.col("text_hash").alias("dirty hash")).distinct()
+    dirty = written(dirty, "leak-dirty")
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("dirty id")) & (F.xxhash64(docs["text"]) == F.col("dirty hash")), "left_anti")

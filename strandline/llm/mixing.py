@@ -1,12 +1,12 @@
 """Mixing sources to target weights with fixed-length blocks of words.
 
 Each source's words, in a fixed document order, are packed into blocks of
-``block_words``. A source's target gives it a number of slots in the mix. Its
-slots are thrown on the output shards, so a shard's source counts are a
-multinomial draw while every source's total stays exact. Slot r of a source
-reads block ``perm(r)``: one pseudorandom permutation of the block numbers for
-each pass over the source. Slots and documents meet in an equality join on
-(source, block), which spreads even a source that holds most of the rows.
+``block_words``. A source's target gives it a number of slots in the mix. Every
+output shard's source counts are drawn (multinomial, given the sources' totals),
+and slots are numbered by the counts. Slot r of a source reads block ``perm(r)``:
+one pseudorandom permutation of the block numbers for each pass over the source.
+Slots and documents meet in an equality join on (source, block), which spreads
+even a source that holds most of the rows.
 """
 
 from __future__ import annotations
@@ -23,9 +23,6 @@ BLOCK_WORDS = 128
 BUCKET_DOCS = 20_000
 CHUNK_SLOTS = 4_096
 SHARD_SLOTS = 8_192
-#: Multipliers for the block permutations: primes, so one that does not divide
-#: the number of blocks makes i -> (p * i + shift) mod n a bijection.
-PRIMES = (2_147_483_647, 2_147_483_629)
 
 
 def packed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -82,41 +79,74 @@ def targets(places: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: i
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def _permuted(r: Column, n: Column, source: Column, epoch: Column, seed: int) -> Column:
-    """Block number of the r-th slot of a pass over n blocks: r -> (p r + c) mod n."""
-    wide = "decimal(38,0)"
-    p = F.when(n % PRIMES[0] == 0, F.lit(PRIMES[1])).otherwise(F.lit(PRIMES[0]))
-    shift = F.pmod(F.xxhash64(F.lit(seed), source, epoch), n)
-    return F.pmod(r.cast(wide) * p.cast(wide) + shift.cast(wide), n.cast(wide)).cast("long")
+def _gcd(a: Column, b: Column) -> Column:
+    """Euclid's steps; 96 are enough for any two longs."""
+    begin = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    step = lambda x, _: F.struct(F.when(x["b"] == 0, x["a"]).otherwise(x["b"]).alias("a"), F.when(x["b"] == 0, x["b"]).otherwise(x["a"] % x["b"]).alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(96)), begin, step, lambda x: x["a"])
 
 
-def slots(goals: DataFrame, block_words: int = BLOCK_WORDS, max_passes: int = MAX_PASSES, seed: int = 7) -> DataFrame:
-    """The mix: source, slot (number within the source), shard, place (order in
-    the shard) and block (of the source) for every output slot.
+def permutations(goals: DataFrame, max_passes: int = MAX_PASSES, seed: int = 7) -> DataFrame:
+    """``goals`` (source, blocks, ...) with ``perms``: for each pass over a source
+    the multiplier and the shift of its permutation r -> (multiplier r + shift)
+    mod blocks. Multipliers are drawn by hash from 2 to blocks - 2, the first of
+    them that has no divisor in common with blocks; fewer than 5 blocks are only
+    shifted."""
+    n = F.greatest(F.col("blocks"), F.lit(1).cast("long"))
+
+    def perm(epoch: Column) -> Column:
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: 2 + F.pmod(F.xxhash64(F.lit(seed), "source", epoch, k), F.greatest(n - 3, F.lit(1).cast("long"))))
+        first = F.get(F.filter(drawn, lambda m: (n >= 5) & (_gcd(n, m) == 1)), 0)
+        shift = F.pmod(F.xxhash64(F.lit(seed + 3), "source", epoch), n)
+        return F.struct(F.coalesce(first, F.lit(1).cast("long")).alias("multiplier"), shift.alias("shift"))
 
-    Slots are made in chunks, so the source with most of them is spread over
-    tasks. The draw depends only on seed, source and slot, so reruns agree.
+    return goals.withColumn("perms", F.array(*[perm(F.lit(e)) for e in range(max_passes)]))
+
+
+def shard_counts(goals: DataFrame, seed: int = 7) -> DataFrame:
+    """source, shard, slots: the draw of every output shard's source counts.
+
+    Each of a source's slots falls on a shard by hash, so a shard's counts are a
+    multinomial draw with the sources' shares of all slots, given that every
+    source's total is its target. ``goals``: source, slots, shards. Slots are
+    drawn in chunks, so the source with most of them is spread over tasks.
     """
+    chunk = goals.where("slots > 0").withColumn("from", F.explode(F.expr(f"sequence(0L, slots - 1, {CHUNK_SLOTS}L)"))).repartition("source", "from")
+    drawn = chunk.withColumn("slot", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + CHUNK_SLOTS, F.col("slots")) - 1)))
+    shard = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "slot"), F.col("shards"))
+    return drawn.select("source", shard.alias("shard")).groupBy("source", "shard").agg(F.count(F.lit(1)).alias("slots"))
+
+
+def planned(goals: DataFrame, block_words: int = BLOCK_WORDS, max_passes: int = MAX_PASSES, seed: int = 7) -> DataFrame:
+    """source, blocks, slots, shards, perms: what the mix takes of each source."""
     n = F.ceil(F.col("source_size") / block_words)
     wanted = F.least(F.round(F.col("target") / block_words), n * max_passes).cast("long")
     goals = goals.select("source", n.cast("long").alias("blocks"), wanted.alias("slots"))
-    shards = F.ceil(F.sum("slots").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / SHARD_SLOTS)
-    goals = goals.withColumn("shards", F.greatest(shards, F.lit(1))).where("slots > 0")
-    chunk = goals.withColumn("first", F.explode(F.expr(f"sequence(0L, slots - 1, {CHUNK_SLOTS}L)"))).repartition("source", "first")
-    made = chunk.withColumn("slot", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + CHUNK_SLOTS, F.col("slots")) - 1)))
-    epoch = F.floor(F.col("slot") / F.col("blocks"))
-    return made.select(
-        "source",
-        "slot",
-        F.pmod(F.xxhash64(F.lit(seed + 1), "source", "slot"), F.col("shards")).alias("shard"),
-        F.xxhash64(F.lit(seed + 2), "source", "slot").alias("place"),
-        _permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("source"), epoch, seed).alias("block"),
-    )
+    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shards = F.greatest(F.ceil(F.sum("slots").over(everything) / SHARD_SLOTS), F.lit(1))
+    return written(permutations(goals.withColumn("shards", shards), max_passes, seed), "mix-plan")
+
 
+def slots(goals: DataFrame, block_words: int = BLOCK_WORDS, max_passes: int = MAX_PASSES, seed: int = 7) -> DataFrame:
+    """The mix: source, slot (number within the source), shard, place (order in
+    the shard) and block (of the source) for every output slot.
 
-def shard_counts(mix: DataFrame) -> DataFrame:
-    """The multinomial draw: slots of each source in each output shard."""
-    return mix.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("slots"))
+    Slots are numbered within a source by shard, by the drawn counts; the r-th
+    slot of a pass reads the block that the pass's permutation gives for r. All
+    of it depends only on seed, source and slot, so reruns agree.
+    """
+    plan = planned(goals, block_words, max_passes, seed)
+    counts = written(shard_counts(plan, seed), "mix-counts")
+    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("offset", F.coalesce(F.sum("slots").over(before), F.lit(0)))
+    p = plan.select(F.col("source").alias("plan source"), "blocks", "perms")
+    rows = counts.join(p, F.col("source").eqNullSafe(F.col("plan source"))).repartition("source", "shard")
+    made = rows.withColumn("slot", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("slots") - 1)))
+    wide = "decimal(38,0)"
+    perm = F.get("perms", F.floor(F.col("slot") / F.col("blocks")).cast("int"))
+    r = (F.col("slot") % F.col("blocks")).cast(wide)
+    block = F.pmod(r * perm["multiplier"].cast(wide) + perm["shift"].cast(wide), F.col("blocks").cast(wide)).cast("long")
+    return made.select("source", "slot", "shard", F.xxhash64(F.lit(seed + 2), "source", "slot").alias("place"), block.alias("block"))
 
 
 def pieces(places: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -130,18 +160,22 @@ def pieces(places: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def _taken_blocks(goals: DataFrame, block_words: int, max_passes: int, seed: int) -> DataFrame:
+    """Each block that the mix reads, and where: the (shard, place) of its slots."""
     mix = slots(goals, block_words, max_passes, seed)
-    return mix.groupBy(F.col("source").alias("mix source"), F.col("block").alias("mix block")).agg(F.count(F.lit(1)).alias("times"))
+    at = F.array_sort(F.collect_list(F.struct("shard", "place")))  # max_passes at most
+    return mix.groupBy(F.col("source").alias("mix source"), F.col("block").alias("mix block")).agg(at.alias("slots"))
 
 
 def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per row of ``docs``.
-
-    ``taken`` are the words of the document that the mix reads, repeats counted.
-    Null texts have size 0 and nothing taken; a null source is a source of its
-    own; repeated rows are separate documents; other columns are ignored; an
-    empty table gives an empty result. A source's taken words differ from its
-    target by less than two blocks.
+    """doc_id, size, source_size, target, taken, first_shard: one row per row of
+    ``docs``.
+
+    ``taken`` are the words of the document that the mix reads, repeats counted;
+    ``first_shard`` is the first output shard that has some of them, null if none
+    has. Null texts have size 0 and nothing taken; a null source is a source of
+    its own; repeated rows are separate documents; a very long text is spread
+    over its blocks; other columns are ignored; an empty table gives an empty
+    result. A source's taken words differ from its target by less than two blocks.
     """
     places = written(packed(docs), "mix-places")
     goals = written(targets(places, weights, max_passes), "mix-targets")
@@ -149,10 +183,12 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, .
     cut = pieces(places, block_words)
     # the optimiser sizes the slots by the few rows they are made from, so it is told to shuffle
     joined = cut.join(blocks.hint("merge"), F.col("source").eqNullSafe(F.col("mix source")) & (F.col("block") == F.col("mix block")), "left")
-    taken = joined.groupBy("source", "at", "doc_id", "size").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
+    taken = joined.groupBy("source", "at", "doc_id", "size").agg(
+        F.coalesce(F.sum(F.col("words") * F.size("slots")), F.lit(0)).cast("long").alias("taken"), F.min(F.get("slots", 0)["shard"]).alias("first_shard")
+    )
     g = goals.withColumnRenamed("source", "goal source")
     out = taken.join(g, F.col("source").eqNullSafe(F.col("goal source")))
-    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", "first_shard")
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, seed: int = 7) -> DataFrame:
@@ -161,8 +197,10 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tu
 
     The c-th row of a document holds its words in blocks taken c times or more,
     in order, with the white space before them; a document taken whole keeps its
-    text as it is. ``n_chars``, where there is one, follows the text. Documents
-    that the mix does not take, and documents without words, have no row.
+    text as it is. Rows are dealt to the output shards, each sorted by the place
+    of its first slot. ``n_chars``, where there is one, follows the text. Documents
+    that the mix does not take, and documents without words, have no row; other
+    rows are treated as by ``mixed``.
     """
     names = docs.columns
     places = written(packed(docs), "mix-places")
@@ -170,7 +208,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tu
     blocks = _taken_blocks(goals, block_words, max_passes, seed)
     cut = pieces(places, block_words)
     joined = cut.join(blocks.hint("merge"), F.col("source").eqNullSafe(F.col("mix source")) & (F.col("block") == F.col("mix block")))
-    parts = joined.groupBy("source", "at", "doc_id", "text hash", "size").agg(F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("parts"))
+    parts = joined.groupBy("source", "at", "doc_id", "text hash", "size").agg(F.array_sort(F.collect_list(F.struct("first", "words", "slots"))).alias("parts"))
     twin = Window.partitionBy("doc_id", "source", "text hash").orderBy("at")
     parts = parts.withColumn("twin", F.row_number().over(twin))
     parts = written(parts.select(F.col("source").alias("p source"), F.col("doc_id").alias("p id"), F.col("text hash").alias("p hash"), "twin", "size", "parts"), "mix-parts")
@@ -182,8 +220,10 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tu
         own = Window.partitionBy("row.doc_id", "row.source", "hash").orderBy(F.xxhash64("row"))
         row = row.withColumn("nth", F.row_number().over(own))
     same = F.col("row.doc_id").eqNullSafe(F.col("p id")) & F.col("row.source").eqNullSafe(F.col("p source")) & (F.col("hash") == F.col("p hash")) & (F.col("nth") == F.col("twin"))
-    taken = row.join(parts.hint("shuffle_hash"), same).select("row", "size", "parts", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("parts", lambda x: x["times"])).cast("int"))).alias("copy"))
-    taken = taken.withColumn("own", F.filter("parts", lambda x: x["times"] >= F.col("copy")))
+    taken = row.join(parts.hint("shuffle_hash"), same).select("row", "size", "parts", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("parts", lambda x: F.size(x["slots"]))))).alias("copy"))
+    taken = taken.withColumn("own", F.filter("parts", lambda x: F.size(x["slots"]) >= F.col("copy")))
+    taken = taken.withColumn("slot", F.array_min(F.transform("own", lambda x: F.get(x["slots"], F.col("copy") - 1))))
+    taken = taken.repartition("slot.shard").sortWithinPartitions("slot.shard", "slot.place")
     whole = F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["words"]) == F.col("size")
     each = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
     taken = taken.withColumn("each", F.when(~whole, each))

@@ -239,7 +239,7 @@ def plain_shingles(text, k=5):
     return {b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
 
 
-def test_decontamination(spark, sf_dir, docs, rows, monkeypatch):
+def test_decontamination(spark, sf_dir, docs, rows, empty, monkeypatch):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").union(spark.createDataFrame([(901, None), (902, ""), (903, "one"), (None, "word word word word word")], "item_id long, text string"))
     sets = [(r["item_id"], plain_shingles(r["text"] or ""), len(words(r["text"] or ""))) for r in items.collect()]
     want = Counter()
@@ -251,12 +251,24 @@ def test_decontamination(spark, sf_dir, docs, rows, monkeypatch):
             if s and len(s & own) >= 0.8 * len(s):
                 want[(i, j, len(s & own))] += 1
     assert want
-    for block in (50_000, 7):
-        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
+    for most in (1_000_000, 7):  # broadcast, and shuffled
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
         got = decontaminate.contaminations(docs, items)
         assert Counter((r["doc_id"], r["item_id"], r["n_shared"]) for r in got.collect()) == want
         dirty = {i for i, _, _ in want}
         assert {r["doc_id"] for r in decontaminate.decontaminated(docs, items).collect()} == {i for i, _ in rows} - dirty
+    twice = items.union(items.where("item_id = 903").withColumn("item_id", items["item_id"] + 7))
+    again = decontaminate.contaminations(docs, twice).collect()
+    assert sum(r["item_id"] == 910 for r in again) == sum(r["item_id"] == 903 for r in again) > 0
+    assert decontaminate.contaminations(empty, items).collect() == []
+
+
+def test_sketch_sizes():
+    """Whatever an item's size, a match keeps as many sketch rows as its class asks for."""
+    for n in range(1, 400):
+        size, need = decontaminate.sketch_size(decontaminate.size_class(n), 0.8), decontaminate.needed(n, 0.8)
+        assert min(size, n) - (n - need) >= 1
+    assert decontaminate.sketch_size(3, 0.8) != decontaminate.sketch_size(6, 0.8)
 
 
 def test_tokens_round_trip(docs, rows):
