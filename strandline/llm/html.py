@@ -1,11 +1,16 @@
 """Main text of web pages, with site templates removed.
 
-Every page is read once into element subtrees. What marks itself as navigation,
-header, footer, advert, form, comment and so on is left out; where a page marks
-its article, that is the text. Elsewhere the site decides: subtrees are hashed,
-Spark counts each hash over the pages of a host, and subtrees that recur on
-many of the host's pages are deleted. Inside a marked article nothing is
-deleted for recurring: a sentence many pages share is still the article's.
+Every page is read once into element subtrees, which are hashed. Spark counts
+each hash over the pages of a host, and subtrees that recur on many of the
+host's pages are deleted, on every page. What is left of the article, where a
+page marks one, or of the page is the text.
+
+Inside a marked article only boxes (div, section, lists of links and the like)
+can be deleted for recurring: a sentence that many pages share is still the
+article's. Marks settle what counts cannot see, as an advert that differs from
+page to page: elements that are navigation, forms, comments and so on by their
+tag, role or class. Class words that an article's own parts may bear as well
+(AMBIGUOUS) count inside an article only if the subtree recurs.
 """
 
 from __future__ import annotations
@@ -41,37 +46,45 @@ _OUT_TAGS = set("nav footer aside form button select dialog menu head".split())
 _OUT_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _OUT_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies respond discussion share sharing social related recommended popup modal overlay widget pagination pager toolbar".split())
 _SITE_HEADER = {"header", "masthead", "topbar"}
+AMBIGUOUS = set("share sharing social related recommended notice notices alert promotion promo banner overlay widget discussion".split())
+#: Elements of a marked article that are subtrees of their own.
+_BOXES = set("div section details center hgroup address search dl table ul ol".split())
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element's marks rule it out, and whether they only suggest it."""
     if tag in _OUT_TAGS or (tag == "header" and not in_article):
-        return True
+        return True, False
+    doubt = False
     for m in _MARKS.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if name == "role" and value in _OUT_ROLES:
-            return True
+            return True, False
         if name in ("class", "id") and tag not in ("article", "main", "body", "html"):
             words = set(_WORD.findall(value))
-            if words & _OUT_WORDS or (not in_article and words & _SITE_HEADER):
-                return True
-    return False
+            sure = words & (_OUT_WORDS - AMBIGUOUS if in_article else _OUT_WORDS | _SITE_HEADER)
+            if sure:
+                return True, False
+            doubt |= bool(words & AMBIGUOUS)
+    return False, doubt
 
 
 class Page:
     """Subtrees and text blocks of a page, from one walk over its markup.
 
-    ``nodes``: (hash, parent) of elements outside a marked article; ``blocks``:
-    (text, node); ``marked``: the blocks of articles, or of the main element.
+    ``nodes``: (hash, parent) of elements; ``kept``: (text, node) of the blocks of
+    articles, or else of the main element, or else of the page. The node is the
+    nearest element that can be deleted, or -1.
     """
 
     def __init__(self, html: str | None):
         self.nodes: list[list[int]] = []
         self.blocks: list[tuple[str, int]] = []
-        self.articles: list[str] = []
-        self.mains: list[str] = []
-        self._stack: list[tuple] = []  # tag, node, unwanted, article, main, hash state
+        self.articles: list[tuple[str, int]] = []
+        self.mains: list[tuple[str, int]] = []
+        self._stack: list[tuple] = []  # tag, node, unwanted, article, main, hash state, whether that is its own
         self._open: Counter[str] = Counter()
         self._text: list[str] = []
         self._walk(html or "")
@@ -80,8 +93,8 @@ class Page:
             self._pop()
 
     @property
-    def marked(self) -> list[str]:
-        return self.articles or self.mains
+    def kept(self) -> list[tuple[str, int]]:
+        return self.articles or self.mains or self.blocks
 
     def _walk(self, html: str) -> None:
         at, n = 0, len(html)
@@ -121,15 +134,16 @@ class Page:
                     while len(self._stack) > depth:
                         self._pop()
                     break
-        up = self._stack[-1] if self._stack else ("", -1, False, False, False, None)
+        up = self._stack[-1] if self._stack else ("", -1, False, False, False, None, False)
         article = up[3] or tag == "article"
-        out = up[2] or _unwanted(tag, attributes, article)
-        node = -1
-        if not (article or out or tag in ("html", "body", "main")):
-            node = len(self.nodes)
+        out, doubt = _unwanted(tag, attributes, article)
+        out = out or up[2]
+        own = not (out or tag in ("html", "body", "main", "article")) and (not article or doubt or tag in _BOXES)
+        node, state = up[1], None if out else up[5]
+        if own:
+            node, state = len(self.nodes), xxhash.xxh64(f"<{tag}{attributes.rstrip('/ ')}>")
             self.nodes.append([0, up[1]])
-        state = xxhash.xxh64(f"<{tag}{attributes.rstrip('/ ')}>") if node >= 0 else None
-        self._stack.append((tag, node if node >= 0 else up[1], out, article, up[4] or tag == "main", state))
+        self._stack.append((tag, node, out, article, up[4] or tag == "main", state, own))
         self._open[tag] += 1
 
     def _end(self, tag: str) -> None:
@@ -140,61 +154,57 @@ class Page:
                 pass
 
     def _pop(self) -> str:
-        tag, node, _, _, _, state = self._stack.pop()
+        tag, node, out, article, main, state, own = self._stack[-1]
         if tag not in _INLINE:
-            self._flush(node)
+            self._flush()
+        self._stack.pop()
         self._open[tag] -= 1
-        if state is not None:
+        if own:
             digest = state.intdigest() - (1 << 63)
             self.nodes[node][0] = digest
             if self._stack and self._stack[-1][5] is not None:
                 self._stack[-1][5].update(digest.to_bytes(8, "little", signed=True))
         return tag
 
-    def _flush(self, node: int | None = None) -> None:
+    def _flush(self) -> None:
         if not self._text:
             return
         text = " ".join(unescape("".join(self._text)).split())
         self._text.clear()
         if not text:
             return
-        tag, own, out, article, main, state = self._stack[-1] if self._stack else ("", -1, False, False, False, None)
+        _, node, out, article, main, state, _ = self._stack[-1] if self._stack else ("", -1, False, False, False, None, False)
         if state is not None:
-            state.update(text.encode("utf-8", "surrogatepass"))
+            state.update(b"<>" + text.encode("utf-8", "surrogatepass"))
         if out:
             return
-        if article:
-            self.articles.append(text)
-        else:
-            if main:
-                self.mains.append(text)
-            self.blocks.append((text, own if node is None else node))
+        (self.articles if article else self.mains if main else self.blocks).append((text, node))
 
 
 _SCHEMA = T.StructType([
     T.StructField("row", T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType())])),
-    T.StructField("host", T.StringType()), T.StructField("marked", T.ArrayType(T.StringType())),
+    T.StructField("host", T.StringType()),
     T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("places", T.ArrayType(T.IntegerType())),
     T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("parents", T.ArrayType(T.IntegerType())),
 ])
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """row (page_id, url), host, marked blocks, and for pages without a marked
-    article their blocks and element subtrees; subtrees are hashed for all."""
+    """row (page_id, url), host, the blocks of the page's main part (``texts``, and
+    ``places``: the subtree of each) and its subtrees (``hashes``, ``parents``)."""
     row = T.StructType([pages.schema["page_id"], pages.schema["url"]])
     schema = T.StructType([T.StructField("row", row), *_SCHEMA.fields[1:]])
-    arrow = (pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    arrow = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                out: tuple[list, ...] = ([], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [])
                 for html in part.column(2):
                     page = Page(html.as_py())
-                    blocks = [] if page.marked else page.blocks
-                    for column, value in zip(out, (page.marked, [t for t, _ in blocks], [p for _, p in blocks], [h for h, _ in page.nodes], [p for _, p in page.nodes]), strict=True):
+                    blocks = page.kept
+                    for column, value in zip(out, ([t for t, _ in blocks], [p for _, p in blocks], [h for h, _ in page.nodes], [p for _, p in page.nodes]), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(out, arrow, strict=True)]], schema.names)
 
@@ -221,12 +231,14 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     """page_id, url, text, n_chars: one row per row of ``pages``.
 
     Null and empty html, and pages without text, give the empty text. A null url
-    is a host of its own; null ids and repeated rows stay as they are; other
-    columns are ignored; an empty table gives an empty result.
+    is a host of its own; null ids and repeated rows stay as they are; a host with
+    most of the pages is counted by partial sums; very long pages are read whole;
+    other columns are ignored; an empty table gives an empty result.
     """
     read = written(read_pages(pages), "html-pages")
     found = templates(read, min_pages, min_share)
-    rest = read.where("size(marked) = 0 AND size(texts) > 0").withColumn("key", F.struct("row", F.xxhash64("texts", "hashes").alias("of")))
+    inside = F.exists("places", lambda p: p >= 0)
+    rest = read.where(inside).withColumn("key", F.struct("row", F.xxhash64("texts", "hashes").alias("of")))
     hits = rest.select("key", "host", F.explode(F.array_distinct("hashes")).alias("hash")).join(found, ["host", "hash"])
     gone = hits.groupBy("key").agg(F.collect_set("hash").alias("gone")).withColumnRenamed("key", "gone key")
     none = F.array().cast("array<bigint>")
@@ -239,6 +251,6 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
             texts = ["\n".join(_without(*each[:4], set(each[4]))) for each in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema.names)
 
-    own = read.where("NOT (size(marked) = 0 AND size(texts) > 0)").select("row", F.array_join("marked", "\n").alias("text"))
+    own = read.where(~inside).select("row", F.array_join("texts", "\n").alias("text"))
     both = own.union(left.mapInArrow(apply, schema))
     return both.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -486,3 +486,33 @@ def test_clashing_columns(spark):
     assert quality.filtered(one, "web-1").columns == one.columns
     assert len(substrings.repeated(one).collect()) == 0
     assert pii.personal_data(one).count() == secret_scan.secrets(one).count() == mixing.mixed(one).count() == 1
+
+
+def _site(host, n, article, box="div"):
+    """A page that marks nothing: a head line and a foot line that all pages of the host share."""
+    head = f'<{box} class="x{host}"><p>Welcome to {host}</p><p>Shop, help and more</p></{box}>'
+    return f'<html><body>{head}<div><h2>Story {n}</h2>{article}</div><table><tr><td>Built with care by {host}</td></tr></table></body></html>'
+
+
+def test_html_counts_decide_on_unmarked_pages(spark):
+    """Several hosts without any mark, one of them with most of the pages."""
+    pages, want = [], {}
+    for host, n_pages in (("hot.example", 120), ("b.example", 9), ("c.example", 4)):
+        for n in range(n_pages):
+            i = len(pages)
+            pages.append((i, f"https://{host}/{n}", _site(host, n, f"<p>Only here {host} {n}.</p><p>All stories end alike.</p>", "section" if host == "b.example" else "div")))
+            want[i] = f"Story {n}\nOnly here {host} {n}."
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extracted(frame).collect()}
+    # a sentence that all pages share is a template where nothing marks the article
+    assert got == want
+    off = {r["page_id"]: r["text"] for r in html.extracted(frame, min_pages=10**6).collect()}
+    assert all("Welcome" in t for t in off.values())
+
+
+def test_html_boxes_of_articles(spark):
+    """In a marked article, boxes go if they recur, whatever their class; others stay."""
+    page = "<body><p>Top {0}</p><article><h1>T{0}</h1><div class='tools'><p>Print this page</p></div><p>All stories begin alike.</p><div class='related'><p>Related work {0} is part of the text.</p></div><div class='share'>Share me</div><p>End {0}</p></article></body>"
+    frame = spark.createDataFrame([(n, f"http://h/{n}", page.format(n), "clash") for n in range(8)], "page_id long, url string, html string, texts string")
+    got = {r["page_id"]: r["text"] for r in html.extracted(frame).collect()}
+    assert got == {n: f"T{n}\nAll stories begin alike.\nRelated work {n} is part of the text.\nEnd {n}" for n in range(8)}
