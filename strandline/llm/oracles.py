@@ -13,7 +13,7 @@ def _words(text: str) -> str:
     return f"list_filter(string_split_regex({text}, '{_SPACE}'), lambda x: x <> '')"
 
 
-def quality_rules() -> str:
+def _ledger() -> str:
     failed = " + ".join(f"CASE WHEN {c} THEN {quality.bit(r)} ELSE 0 END" for r, c in quality.RULES.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -24,11 +24,21 @@ cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) v(
 m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, (length(t) - length(replace(t, '!!', ''))) // 2 AS n_exclaims
   FROM w LEFT JOIN cov USING (r)),
-f AS (SELECT *, CAST({failed} AS BIGINT) AS failed FROM m)
+f AS (SELECT *, CAST({failed} AS BIGINT) AS failed FROM m)"""
+
+
+def quality_rules() -> str:
+    return f"""{_ledger()}
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
 CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed & {quality.mask(quality.BASE)} <> 0 AS base_failed, failed & {quality.mask(quality.POLICIES["web-2"])} = 0 AS kept, failed FROM f"""
 
 
+def quality_ablation() -> str:
+    entries = ", ".join(f"('{p}', '{r}', {quality.mask(rules)}, {quality.bit(r)})" for p, rules in quality.POLICIES.items() for r in rules)
+    return f"""{_ledger()}, e(policy, rule, mask, bit) AS (VALUES {entries})
+SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_only_this, count(*) FILTER (failed & mask = 0) AS n_kept FROM f, e GROUP BY policy, rule"""
+
+
 def decontamination() -> str:
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     k, c = decontaminate.SHINGLE_WORDS, decontaminate.CONTAINMENT
@@ -70,4 +80,5 @@ SQL = {
     "op3_decontamination": decontamination(),
     "op5_quality_rules": quality_rules(),
     "op6_secret_scan": secret_scan_sql(),
+    "quality_ablation": quality_ablation(),
 }

@@ -4,8 +4,9 @@ The base detectors find e-mail addresses, IPv4 addresses, payment cards and
 phone numbers. Their finds are seed entities. The words to the left of a seed
 are a lexical pattern; identifier-like tokens that no detector knows are
 unseen instances. Patterns and instances form a graph in which, round by round,
-a pattern scores by the share of its instances that are trusted and an instance
-by the patterns that reach it. Instances that trusted patterns vouch for are
+a pattern scores by the kinds of its known instances and an instance by the
+patterns that reach it. Instances that trusted patterns vouch for become known,
+teach new patterns in the next round, and are
 added to the spans. All of it is DataFrame work; the graph has one edge for
 each distinct (pattern, value), counted with map-side partial sums.
 """
@@ -36,6 +37,8 @@ UNSEEN = (
 ROUNDS = 3
 MIN_SEEDS = 5
 MIN_SCORE = 0.9
+#: A context of whose values fewer than this share are known is too loose to vouch.
+MIN_SHARE = 0.05
 _BASE = "array<struct<k:int,s:int,e:int,m:string,l:string>>"
 
 
@@ -110,26 +113,40 @@ def graph(scan: DataFrame) -> DataFrame:
     return seeds.union(others).where("pattern IS NOT NULL").distinct()
 
 
-def discovered(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
+def _scores(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(pattern, k, score) of the patterns that may vouch, from what is known.
+
+    ``known``: value and its kind. A pattern's score for a kind is the share of
+    that kind among its known values; it needs MIN_SEEDS of them and MIN_SHARE of
+    all its values. Values that nothing is known of do not speak against it.
+    """
+    told = edges.select("pattern", "value").distinct().join(known, "value", "left")
+    counts = told.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.count("kind").alias("known"), *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n{k}") for k in range(len(KINDS))])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("n")) for k in range(len(KINDS))]))
+    rows = counts.select("pattern", "values", "known", each.alias("x")).select("pattern", "x.k", "x.n", "values", (F.col("x.n") / F.col("known")).alias("score"))
+    return rows.where((F.col("n") >= MIN_SEEDS) & (F.col("n") >= MIN_SHARE * F.col("values")) & (F.col("score") >= MIN_SCORE)).select("pattern", "k", "score")
+
+
+def discovered(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(value, k, trust) of the unseen values that trusted patterns vouch for.
 
-    A pattern's score for a kind is the trust of its values of that kind over
-    the number of its values of any kind; it needs ``min_seeds`` distinct seeds.
-    A value's trust is one minus the product of its patterns' doubts.
+    Each round scores the patterns by all that is known, seeds and what earlier
+    rounds found alike, so a context that only found values share is learnt in
+    its turn. A value's trust is one minus the product of its patterns' doubts.
     """
-    size = edges.groupBy("pattern").agg(F.countDistinct("value").alias("values"))
-    seeds = edges.where("seed").groupBy("pattern", "k").agg(F.count(F.lit(1)).alias("seeds"))
-    ready = written(seeds.where(F.col("seeds") >= min_seeds).join(size, "pattern"), "pii-patterns")
-    reached = written(edges.where("NOT seed").join(ready.select("pattern", "k"), ["pattern", "k"]), "pii-reached")
-    trust = reached.select("value", "k").distinct().withColumn("trust", F.lit(0.0))
+    others = written(edges.where("NOT seed").select("pattern", "k", "value"), "pii-unseen")
+    seeds = written(edges.where("seed").groupBy("value").agg(F.min("k").alias("kind")), "pii-seeds")
+    found = None
     for _ in range(rounds):
-        lent = reached.join(trust, ["value", "k"]).groupBy("pattern", "k").agg(F.sum("trust").alias("lent"))
-        scores = ready.join(lent, ["pattern", "k"], "left").select("pattern", "k", ((F.col("seeds") + F.coalesce("lent", F.lit(0.0))) / F.col("values")).alias("score"))
-        trusted = scores.where(F.col("score") >= min_score)
+        known = seeds if found is None else seeds.union(found.select("value", F.col("k").alias("kind")))
+        # a written table, so that a pattern with many values can be split over tasks
+        trusted = written(_scores(edges, known), "pii-patterns")
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
-        trust = written(reached.join(trusted, ["pattern", "k"]).groupBy("value", "k").agg((1 - doubt).alias("trust")), "pii-trust")
-    best = F.max(F.struct("trust", -F.col("k"))).alias("best")
-    return trust.where(F.col("trust") >= min_score).groupBy("value").agg(best).select("value", (-F.col("best.col2")).alias("k"), "best.trust")
+        trust = others.join(trusted, ["pattern", "k"]).groupBy("value", "k").agg((1 - doubt).alias("trust"))
+        best = trust.groupBy("value").agg(F.max(F.struct("trust", -F.col("k"))).alias("best"))
+        best = best.where(F.col("best.trust") >= MIN_SCORE).select("value", (-F.col("best.col2")).alias("k"), "best.trust")
+        found = written(best.join(seeds, "value", "left_anti"), "pii-found")
+    return found
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -137,7 +154,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     struct<k,s,e>, k indexing KINDS, by kind, then start).
 
     Null and empty texts have no spans; null ids and repeated rows stay as they
-    are; other columns are ignored; an empty table gives an empty result.
+    are; very long texts are read whole by patterns that never go back; other
+    columns are ignored; an empty table gives an empty result.
     """
     scan = written(scanned(docs), "pii-scan")
     extra = discovered(written(graph(scan), "pii-graph"))

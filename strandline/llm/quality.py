@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import word_array
+from strandline.llm.common import word_array, written
 
 WINDOW = 3
 SYMBOLS = "#*$%&|<>"
@@ -119,9 +119,14 @@ def ablation(book: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICIES
     )
 
 
+def decided(book: DataFrame, policy: str = "web-2") -> DataFrame:
+    """A ledger with ``base_failed`` and ``kept`` under a policy of POLICIES."""
+    return book.withColumns({"base_failed": ~passes(BASE), "kept": passes(BASE) & passes(POLICIES[policy])})
+
+
 def judged(docs: DataFrame, policy: str = "web-2") -> DataFrame:
-    """The ledger with ``base_failed`` and ``kept`` under ``policy``."""
-    return ledger(docs).withColumns({"base_failed": ~passes(BASE), "kept": passes(BASE) & passes(POLICIES[policy])})
+    """The ledger of ``docs``, written once, decided by ``policy``."""
+    return decided(written(ledger(docs), "quality-ledger"), policy)
 
 
 def filtered(docs: DataFrame, policy: str = "web-2") -> DataFrame:
@@ -134,5 +139,5 @@ def filtered(docs: DataFrame, policy: str = "web-2") -> DataFrame:
     keyed = docs.select(F.col("text"), F.struct(*names).alias("doc_id"))
     # the row number keeps the filter above the measurements: pushed below them,
     # it would repeat each of them wherever another one uses it
-    rows = judged(keyed, policy).withColumn("row number", F.monotonically_increasing_id())
+    rows = decided(ledger(keyed), policy).withColumn("row number", F.monotonically_increasing_id())
     return rows.where(F.col("kept") & (F.col("row number") >= 0)).select("doc_id.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from strandline.llm import classifier, decontaminate, html, mixing, oracles, pii, quality, secret_scan, simhash, substrings, tokens
-from strandline.llm.common import table
+from strandline.llm.common import table, written
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablation(written(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secrets(table(spark, sf_dir, "documents")))
 
@@ -57,7 +61,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_simhash_near_dedup, op2_pii, op3_decontamination, op4_token_orc, op5_quality_rules,
-        op6_secret_scan, op7_substring_dedup, op8_html_extraction, op9_source_mixing, op10_quality_classifier,
+        op6_secret_scan, op7_substring_dedup, op8_html_extraction, op9_source_mixing, op10_quality_classifier, quality_ablation,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 

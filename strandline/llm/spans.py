@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 SPAN = "struct<s:int,e:int,m:string,g:string,l:string>"
 CONTEXT_CHARS = 80
+#: Matches placed in one go.
+PART = 256
 
 
 def run_start(chars: str) -> str:
@@ -39,8 +41,14 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     none = F.array().cast(f"array<{SPAN}>")
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(zipped, begin, step, lambda acc: acc["out"])).otherwise(none)
+    placed = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    # appending to an array copies it, so many matches are placed part by part
+    parts = F.transform(F.sequence(F.lit(1), F.size(whole), F.lit(PART)), lambda i: F.slice(zipped, i, F.lit(PART)))
+    length = lambda x: F.length(x["p"]) + F.length(x["m"])
+    sizes = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + length(x)))
+    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+    long = F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(sizes)), placed))
+    return F.when(F.regexp_count(text, F.lit(pattern)) > PART, long).when(F.regexp_like(text, F.lit(pattern)), placed(zipped, F.lit(0))).otherwise(none)
 
 
 def only_digits(match: Column) -> Column:

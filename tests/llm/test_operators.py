@@ -180,6 +180,24 @@ def test_pii_bootstrap(spark):
     assert found[3].count("phone") == 1
 
 
+def test_pii_learns_from_what_it_found(spark):
+    """A context of mostly unseen values, and one that only found values teach."""
+    base = [f"please ring me: +1 (20{i % 10}) 555-01{i:02d} thanks" for i in range(30)]
+    local = [f"{200 + i} 867 53{i:02d}" for i in range(80)]
+    texts = base + [f"please ring me: {v} thanks" for v in local] + [f"his fallback line: {v} today" for v in local[:12]] + ["his fallback line: 999 111 2222 today", "the order number 888 111 2222 shipped"]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.personal_data(spark.createDataFrame([(n, t, "en", "s", 0) for n, t in enumerate(texts)], SCHEMA))).collect()}
+    for n, t in enumerate(texts):
+        m = re.search(r"\d{3} \d{3} \d{4}", t)
+        assert got[n] == ("" if "order" in t else f"phone:{m.start()}:{m.end()}" if m else got[n]), t
+
+
+def test_many_matches(spark):
+    text = "x@y.zz " * 2_000 + "é +1 234 567 8901"
+    got = pii.digest(pii.personal_data(spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA))).first()
+    want = ",".join(f"email:{7 * n}:{7 * n + 6}" for n in range(2_000)) + ",phone:14002:14017"
+    assert (got["n_email"], got["spans"]) == (2_000, want)
+
+
 BASE_SECRETS = {"assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r"[0-9a-f]+", 0, 24)}
 
 
