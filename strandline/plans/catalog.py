@@ -117,9 +117,9 @@ def select_rows(m, s, d):
     return extract.select_rows(m, ["exon_id", "exon_start"], {"exon_strand": ["+"], "exon_rank": [2]}).select(F.col("_exon_id").alias("exon_id"), F.col("exon_start").alias("start"))
 
 
-@_query("SELECT DISTINCT tx AS tx_id, exon_id, coalesce(cds_id, -1) AS cds_id FROM sp WHERE rk <= 2")
+@_query("SELECT DISTINCT tx AS tx_id, exon_id, coalesce(cds_id, -1) AS cds_id FROM sp")
 def splicing_bundle(m, s, d):
-    rows = extract.star(m, {"splicing", "exon", "cds"}).where("exon_rank <= 2")
+    rows = extract.star(m, {"splicing", "exon", "cds"})
     return rows.select(F.col("_tx_id").alias("tx_id"), F.col("_exon_id").alias("exon_id"), F.coalesce("_cds_id", F.lit(-1)).alias("cds_id")).distinct()
 
 
@@ -365,12 +365,12 @@ def project_on_tx(m, s, d):
 
 @_query("""SELECT q.i, q.tx AS group_id, coalesce(h.start, 0) AS start, coalesce(h."end", -1) AS "end", coalesce(h.strand, '*') AS strand FROM qq q LEFT JOIN (
 SELECT q.i, q.tx, q.p - o.s + 1 AS x, CAST(CASE WHEN o.strand = '-' THEN o.off + o.e - q.p - 9 + 1 ELSE o.off + q.p - o.s + 1 END AS BIGINT) AS start, CAST(CASE WHEN o.strand = '-' THEN o.off + o.e - q.p + 1 ELSE o.off + q.p + 9 - o.s + 1 END AS BIGINT) AS "end", o.strand
-FROM qq q JOIN offs o ON o.tx = q.tx AND q.p >= o.s AND q.p + 9 <= o.e) h ON h.i = q.i""", "qq AS (SELECT tx AS i, tx, min(s) + tx % 160 AS p FROM sp GROUP BY tx HAVING count(*) = 1)")
+FROM qq q JOIN offs o ON o.tx = q.tx AND q.p >= o.s AND q.p + 9 <= o.e) h ON h.i = q.i""", "qq AS (SELECT tx AS i, tx, min(s) + tx % 160 AS p FROM sp GROUP BY tx)")
 def pmap_to_tx(m, s, d):
     e = grouped.exons_by(m, "tx")
-    single = e.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"), F.min("seqnames").alias("seqnames"), F.min("strand").alias("strand")).where("n = 1")
-    x = single.select(F.col("group_id").alias("i"), "seqnames", (F.col("first") + F.col("group_id") % 160).alias("start"), (F.col("first") + F.col("group_id") % 160 + 9).alias("end"), "strand")
-    return coords.pmap_to_transcripts(x, e.join(single.select("group_id"), "group_id", "left_semi").withColumn("i", F.col("group_id")))
+    firsts = e.groupBy("group_id").agg(F.min("start").alias("first"), F.min("seqnames").alias("seqnames"), F.min("strand").alias("strand"))
+    x = firsts.select(F.col("group_id").alias("i"), "seqnames", (F.col("first") + F.col("group_id") % 160).alias("start"), (F.col("first") + F.col("group_id") % 160 + 9).alias("end"), "strand")
+    return coords.pmap_to_transcripts(x, e.withColumn("i", F.col("group_id")))
 
 
 _BACK = """tq AS (SELECT tx AS i, tx, 1 + tx % 300 AS a, 1 + tx % 300 + 49 AS b FROM tr),
@@ -441,9 +441,9 @@ def coverage_by_tx_ignore_strand(m, s, d):
 
 
 @_query("""SELECT tx AS group_id, CAST(t AS BIGINT) AS position, count(r.i) AS depth FROM (SELECT tx, chrom, strand, off + CASE WHEN strand = '-' THEN e - p + 1 ELSE p - s + 1 END AS t, p
-FROM (SELECT *, unnest(range(s, e + 1)) AS p FROM offs WHERE tx % 10 = 0)) b LEFT JOIN reads r ON r.chrom = b.chrom AND r.s <= b.p AND r.e >= b.p AND (r.strand = b.strand OR r.strand = '*') GROUP BY tx, t HAVING count(r.i) > 0""")
+FROM (SELECT *, unnest(range(s, e + 1)) AS p FROM offs)) b LEFT JOIN reads r ON r.chrom = b.chrom AND r.s <= b.p AND r.e >= b.p AND (r.strand = b.strand OR r.strand = '*') GROUP BY tx, t HAVING count(r.i) > 0""")
 def coverage_positions(m, s, d):
-    e = grouped.exons_by(m, "tx").where("group_id % 10 = 0").select("group_id", *intervals.CORE)
+    e = grouped.exons_by(m, "tx").select("group_id", *intervals.CORE)
     runs = coverage.coverage_by_transcript(star.reads(s, d), e).where("depth > 0")
     return runs.select("group_id", F.explode(F.sequence("start", "end")).alias("position"), "depth")
 
@@ -456,14 +456,14 @@ def pcoverage_by_tx(m, s, d):
 
 # -- sequences -----------------------------------------------------------------
 _SEQ = f"""SELECT tr.tx AS group_id, md5(coalesce(q.seq, '')) AS digest, CAST(length(coalesce(q.seq, '')) AS BIGINT) AS width FROM tr LEFT JOIN (SELECT tx, string_agg(CASE WHEN strand = '-' THEN {RC.format(b=BASE)} ELSE {BASE} END, '' ORDER BY rk, CASE WHEN strand = '-' THEN -p ELSE p END) AS seq
-FROM (SELECT *, unnest(range(s, e + 1)) AS p FROM sp WHERE tx % 4 = 0) GROUP BY tx) q ON tr.tx = q.tx WHERE tr.tx % 4 = 0"""
+FROM (SELECT *, unnest(range(s, e + 1)) AS p FROM sp) GROUP BY tx) q ON tr.tx = q.tx"""
 
 
 def _digest(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, F.md5(F.coalesce("seq", F.lit("")).cast("binary")).alias("digest"), F.length(F.coalesce("seq", F.lit(""))).cast("long").alias("width"))
 
 
-@_query(_SEQ.replace(" WHERE tx % 4 = 0", "").replace(" WHERE tr.tx % 4 = 0", ""))
+@_query(_SEQ)
 def extract_tx_seqs(m, s, d):
     e = grouped.exons_by(m, "tx")
     return _digest(sequences.model_transcript_seqs(m, e, star.genome(m, e), star.CHUNK), "group_id")
@@ -488,11 +488,11 @@ def upstream_seqs(m, s, d):
 
 def _around_sql(plus: str, minus: str) -> str:
     lo, hi = (f"CASE WHEN strand = '-' THEN {a} ELSE {b} END" for a, b in zip(minus.split("|"), plus.split("|"), strict=True))
-    return _range_seq_sql(f"SELECT tx AS i, chrom, strand, greatest(1, {lo}) AS s, least({_LEN}, {hi}) AS e FROM tr WHERE tx % 9 = 0", "i")
+    return _range_seq_sql(f"SELECT tx AS i, chrom, strand, greatest(1, {lo}) AS s, least({_LEN}, {hi}) AS e FROM tr", "i")
 
 
 def _around(m: GeneModel, which: str) -> DataFrame:
-    tx = extract.transcripts(m, ("tx_id",)).where("tx_id % 9 = 0").withColumnRenamed("tx_id", "i").withColumn("group_id", F.lit(None).cast("string"))
+    tx = extract.transcripts(m, ("tx_id",)).withColumnRenamed("tx_id", "i").withColumn("group_id", F.lit(None).cast("string"))
     chunks = star.genome(m, sequences.around_ranges(tx, which, 300, 50))
     return _digest(sequences.around_sequences(tx, chunks, star.CHUNK, which, 300, 50), "i")
 
@@ -535,11 +535,26 @@ def keys_by_column(m, s, d):
     return keyed.keys(m, "TXID", "^G10", "GENEID")
 
 
-@_query()
+# The public names of the model's columns and key types.
+_COLUMNS = """CDSCHROM CDSEND CDSID CDSNAME CDSPHASE CDSSTART CDSSTRAND EXONCHROM EXONEND EXONID EXONNAME EXONRANK EXONSTART EXONSTRAND
+GENEID TXCHROM TXEND TXID TXNAME TXSTART TXSTRAND TXTYPE""".split()
+_KEYTYPES = "CDSID CDSNAME EXONID EXONNAME GENEID TXID TXNAME".split()
+
+
+def _names(names: list[str]) -> str:
+    return f"SELECT name FROM (VALUES {', '.join(f'({n!r})' for n in names)}) v(name)"
+
+
+@_query(_names(_COLUMNS))
 def columns(m, s, d):
     return s.createDataFrame([(c,) for c in keyed.columns(m)], "name string")
 
 
+@_query(_names(_KEYTYPES))
+def keytypes(m, s, d):
+    return s.createDataFrame([(k,) for k in keyed.keytypes(m)], "name string")
+
+
 @_query(f"""SELECT CAST(k.i AS INTEGER) AS i, k.key AS "TXID", x.chrom AS "TXCHROM" FROM {_values(_TXIDS)} LEFT JOIN (SELECT tx, chrom FROM tr WHERE chrom IN ('chr2', 'chr3')) x ON CAST(x.tx AS VARCHAR) = k.key""")
 def active_seqs_select(m, s, d):
     return keyed.select(m.with_active(["chr2", "chr3"]), _TXIDS, ["TXCHROM"], "TXID")

@@ -74,9 +74,15 @@ def reads(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, kee
     return e.select(F.col("event_id").alias("i"), F.concat(F.lit("chr"), (F.col("user_id") % CHROMS + 1).cast("string")).alias("seqnames"), start.alias("start"), (start + 49 + F.col("event_id") % 100).alias("end"), strand.alias("strand"), *keep)
 
 
+def _base(x: int, k: int) -> str:
+    return "ACGT"[(7 * x + x // 3 + k) % 4]
+
+
 def _bases(k: Column, first: Column, last: Column) -> Column:
-    p = lambda x: F.element_at(F.array(*map(F.lit, "ACGT")), ((x * 7 + div(x, 3) + k) % 4 + 1).cast("int"))
-    return F.array_join(F.transform(F.sequence(first, last), p), "")
+    """Bases ``first`` to ``last`` of chromosome ``k``: they repeat every twelve."""
+    period = F.element_at(F.array(*[F.lit("".join(_base(x, n) for x in range(12))) for n in range(4)]), (k % 4 + 1).cast("int"))
+    size = (last - first + 1).cast("int")
+    return F.substring(F.repeat(period, (F.floor(size / 12) + 2).cast("int")), (first % 12 + 1).cast("int"), size)
 
 
 def genome(model: GeneModel, wanted: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
