@@ -130,7 +130,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     linked = components(links(distinct.select("fp")), "a", "b", "simhash-links")
     member = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     root = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = member.join(root, "component").select("fp", "component_id")
+    # a written table, so that a fingerprint of many copies can be split over tasks
+    label = written(member.join(root, "component").select("fp", "component_id"), "simhash-labels")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(label, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
 
@@ -153,8 +154,9 @@ def deduplicated(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     if shared.isEmpty():
         return kept
     rest = docs.join(shared, docs["doc_id"].eqNullSafe(shared["kept_id"]), "left_semi")
-    root = found.select("fp", "component_id").distinct().withColumnRenamed("component_id", "root id")
-    of = fingerprints(rest, k, tuple(names)).withColumnRenamed("fp", "fp of text")
-    of = of.join(root, of["fp of text"] == root["fp"]).where(F.col("doc_id").eqNullSafe(F.col("root id")))
-    key = F.coalesce(F.col("root id").cast("string"), F.concat(F.lit("fp "), F.col("fp of text")))
-    return kept.union(of.groupBy(key).agg(F.min(F.struct(*names)).alias("row")).select("row.*"))
+    root = found.select("fp", "component_id").distinct().withColumnsRenamed({"fp": "root fp", "component_id": "root id"})
+    # a row travels as one struct, so that columns of any name are safe
+    of = fingerprints(rest.select("text", F.struct(*names).alias("row")), k, ("row",))
+    of = of.join(root, F.col("fp") == F.col("root fp")).where(F.col("row.doc_id").eqNullSafe(F.col("root id")))
+    key = F.coalesce(F.col("root id").cast("string"), F.concat(F.lit("fp "), F.col("fp")))
+    return kept.union(of.groupBy(key).agg(F.min("row").alias("row")).select("row.*"))

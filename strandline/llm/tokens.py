@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,8 +162,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     as many as the shards."""
     rows = spark.read.orc(path)
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = totals.alias("a").join(totals.alias("b"), F.col("b.shard") < F.col("a.shard"), "left")
-    offsets = before.groupBy(F.col("a.shard").alias("shard")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     # one row a shard, and a shard is a file: the offsets are small at any size
     return rows.join(F.broadcast(offsets), "shard").withColumn("start", F.col("before") + F.col("within")).drop("before")
 
