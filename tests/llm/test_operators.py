@@ -609,7 +609,7 @@ def test_clashing_columns(spark):
     items = spark.createDataFrame([(1, "never there at all here")], "item_id long, text string")
     assert decontaminate.decontaminated(one, items).collect() == one.collect()
     assert quality.filtered(one, "web-1").columns == one.columns
-    assert len(substrings.repeated(one).collect()) == 0
+    assert [r["repeated"] for r in substrings.repeated(one).collect()] == ["0:439"]  # it repeats in itself
     assert pii.personal_data(one).count() == secret_scan.secrets(one).count() == mixing.mixed(one).count() == 1
 
 
@@ -641,3 +641,27 @@ def test_html_boxes_of_articles(spark):
     frame = spark.createDataFrame([(n, f"http://h/{n}", page.format(n), "clash") for n in range(8)], "page_id long, url string, html string, texts string")
     got = {r["page_id"]: r["text"] for r in html.extracted(frame).collect()}
     assert got == {n: f"T{n}\nAll stories begin alike.\nRelated work {n} is part of the text.\nEnd {n}" for n in range(8)}
+
+
+def test_pipeline(spark, docs, empty, sf_dir, tmp_path):
+    """Every stage on odd rows, repeated rows and an empty table, each against what its operator says."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["quality rules", "near dedup", "decontamination", "source mixing", "token output"]
+    now = docs.union(docs.where("doc_id % 50 = 0"))
+    seen = [Counter(map(tuple, now.collect()))]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.written(stage(spark, now, str(tmp_path)), "test-stage")
+        assert now.columns == docs.columns, name
+        seen.append(Counter(map(tuple, now.collect())))
+    start, rules, near, clean, _ = seen
+    assert rules <= start and near <= rules and clean <= near
+    kept = {r["doc_id"] for r in quality.judged(docs).where("kept").collect()}
+    assert {r[0] for r in rules} == kept and sum(rules.values()) > len(kept)
+    assert max(near.values()) == 1
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()} == {r[0] for r in seen[-1]}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == [], name
