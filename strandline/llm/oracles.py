@@ -76,7 +76,32 @@ c AS (SELECT r, {counts}, sha256(coalesce({joined} FILTER (k < {len(base)}), '')
 SELECT doc_id, {", ".join(f"coalesce(n_{secret_scan.KINDS[n]}, 0) AS n_{secret_scan.KINDS[n]}" for n in base)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN c USING (r)"""
 
 
+def infill() -> str:
+    draw = lambda k: f"('0x' || substr(h, {8 * k - 7}, 8))::BIGINT"
+    return f"""
+WITH d AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, sha256('7:' || doc_id) AS h FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+c AS (SELECT *, len(l) AS n, {draw(1)} % (len(l) + 1) AS a, {draw(2)} % (len(l) + 1) AS b FROM d),
+p AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN {draw(4)} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+array_to_string(l[:least(a, b)], '') AS pre, array_to_string(l[least(a, b) + 1:greatest(a, b)], '') AS mid, array_to_string(l[greatest(a, b) + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def chat_format() -> str:
+    hashes = lambda c: f"coalesce(list_sum(list_transform(regexp_extract_all({c}, '###+'), lambda y: length(y) - 2)), 0)"
+    added = lambda c: f"length({c}) - length(replace({c}, '\\', '')) + {hashes(c)} + (length({c}) - length(replace({c}, '</turn>', ''))) // 7"
+    own = "'\\### Assistant: </turn> ok'"
+    order = "ORDER BY turn NULLS FIRST, role, t"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations UNION ALL VALUES (-7, 0, 'user', {own}), (-7, 1, 'assistant', {own})),
+e AS (SELECT *, 14 + length(role) + {added("role")} + length(role) - length(replace(role, ':', '')) + length(t) + {added("t")} AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' {order})) AS turns_sha256, CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(t, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+
 SQL = {
+    "op11_fill_in_middle": infill(),
+    "op12_chat_format": chat_format(),
     "op3_decontamination": decontamination(),
     "op5_quality_rules": quality_rules(),
     "op6_secret_scan": secret_scan_sql(),
