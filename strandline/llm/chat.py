@@ -105,14 +105,14 @@ def _pieces(table: pa.RecordBatch, part: int, number: int, first: bool, last: bo
     )
 
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _format(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows to pieces. The last conversation of a slice waits for its next
     rows while it is small enough."""
     part, number, opened, held = TaskContext.get().partitionId(), 0, True, None
-    for batch in sliced(batches, ("role", "text"), SLICE_BYTES):
+    for batch in sliced(batches, ("role", "text"), most):
         table = batch
         if held is not None:
-            if held.nbytes > SLICE_BYTES:
+            if held.nbytes > most:
                 pieces = _pieces(held, part, number, opened, held.column("conv_id")[-1].as_py() == batch.column("conv_id")[0].as_py())
                 opened = not pieces.column("whole")[-1].as_py()
                 number += pieces.num_rows
@@ -134,7 +134,7 @@ def _piece_schema(kind: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("conv_id", kind), *T.StructType.fromDDL("part long, piece long, n_turns long, formatted string, loss_start array<long>, loss_end array<long>, n_chars long, whole boolean").fields])
 
 
-def formatted(conversations: DataFrame, learn: str = "assistant") -> DataFrame:
+def formatted(conversations: DataFrame, learn: str = "assistant", most: int = SLICE_BYTES) -> DataFrame:
     """Pieces of formatted conversations: conv_id, part, piece, n_turns,
     formatted, loss_start and loss_end (code points in the piece, end
     exclusive, a pair for each turn of the role ``learn``), n_chars, whole.
@@ -148,7 +148,7 @@ def formatted(conversations: DataFrame, learn: str = "assistant") -> DataFrame:
     c = conversations
     rows = c.select(c["conv_id"].alias("conv_id"), c["turn"].alias("turn"), F.coalesce(c["role"], F.lit("")).alias("role"), F.coalesce(c["text"], F.lit("")).alias("text"))
     order = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return order.select("conv_id", "role", "text", (F.col("role") == learn).alias("loss")).mapInArrow(_format, _piece_schema(rows.schema["conv_id"].dataType))
+    return order.select("conv_id", "role", "text", (F.col("role") == learn).alias("loss")).mapInArrow(lambda batches: _format(batches, most), _piece_schema(rows.schema["conv_id"].dataType))
 
 
 def parsed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from strandline.llm import chat, classifier, decontaminate, html, infill, mixing, oracles, pii, quality, secret_scan, simhash, substrings, tokens
+from strandline.llm import chat, classifier, decontaminate, html, infill, mixing, oracles, pii, quality, repair, secret_scan, simhash, substrings, tokens
 from strandline.llm.common import table, written
 
 
@@ -68,10 +68,14 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(rows.union(spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.repaired(table(spark, sf_dir, "conversations"), repair.damaged))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_simhash_near_dedup, op2_pii, op3_decontamination, op4_token_orc, op5_quality_rules,
-        op6_secret_scan, op7_substring_dedup, op8_html_extraction, op9_source_mixing, op10_quality_classifier, op11_fill_in_middle, op12_chat_format, quality_ablation,
+        op6_secret_scan, op7_substring_dedup, op8_html_extraction, op9_source_mixing, op10_quality_classifier, op11_fill_in_middle, op12_chat_format, op13_conversation_repair, quality_ablation,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
