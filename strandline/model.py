@@ -63,6 +63,18 @@ class GeneModel:
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def spliced(self, *features: str, keep_uncoded: bool = True) -> DataFrame:
+        """Splicing rows with the columns of exon, cds or both; rows without a
+        CDS part stay, with nulls, or go."""
+        stored = getattr(self.tables, "bundle", None)
+        if stored is not None:
+            rows = stored if keep_uncoded or "cds" not in features else stored.where("_cds_id IS NOT NULL")
+            return rows.select(*dict.fromkeys(c for t in ("splicing", *features) for c in schema.TABLES[t].fieldNames()))
+        rows = self.tables["splicing"]
+        for name in features:
+            rows = rows.join(self.tables[name], f"_{name}_id", "left" if name == "cds" and keep_uncoded else "inner")
+        return rows
+
     @property
     def spark(self) -> SparkSession:
         return self.tables["transcript"].sparkSession
@@ -71,8 +83,7 @@ class GeneModel:
         """The logical tables: transcripts, splicings, genes, chrominfo."""
         t = self.tables
         plain = lambda df: df.select(*[F.col(c).alias(schema.shown(c)) for c in df.columns])
-        exon = t["exon"].drop("exon_name").join(t["exon"].select("_exon_id", "exon_name"), "_exon_id")
-        splicings = t["splicing"].join(exon, "_exon_id").join(t["cds"].select("_cds_id", "cds_name", "cds_start", "cds_end"), "_cds_id", "left")
+        splicings = self.spliced("exon", "cds")
         order = ["_tx_id", "exon_rank", "_exon_id", "exon_name", "exon_chrom", "exon_strand", "exon_start", "exon_end", "_cds_id", "cds_name", "cds_start", "cds_end", "cds_phase"]
         genes = t["gene"].select("_tx_id", "gene_id")
         return {

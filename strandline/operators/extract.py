@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline import schema
-from strandline.functions.ranges import promoter, terminator
+from strandline.functions.ranges import dense_ids, promoter, terminator
 from strandline.model import GeneModel
 
 Filter = Mapping[str, Sequence]
@@ -24,11 +24,12 @@ def star(model: GeneModel, tables: set[str], keep_uncoded: bool = True) -> DataF
     tables = set(tables)
     if len(tables) > 1 and tables & {"exon", "cds"}:
         tables.add("splicing")
-    order = [t for t in ("transcript", "splicing", "exon", "cds", "gene") if t in tables]
-    df = model[order[0]]
-    for name in order[1:]:
-        key = {"exon": "_exon_id", "cds": "_cds_id"}.get(name, "_tx_id")
-        df = df.join(model[name], key, "left" if name == "cds" and keep_uncoded else "inner")
+    parts = [t for t in ("exon", "cds") if t in tables]
+    if "splicing" not in tables and parts:
+        return model[parts[0]]
+    df = model.spliced(*parts, keep_uncoded=keep_uncoded) if "splicing" in tables else None
+    for name in [t for t in ("transcript", "gene") if t in tables]:
+        df = model[name] if df is None else df.join(model[name], "_tx_id")
     return df
 
 
@@ -180,9 +181,10 @@ def micro_rnas(hairpins: DataFrame, coordinates: DataFrame, species: DataFrame,
 
 def unique_row_ids(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """``df`` with ``id``: the number, among the distinct rows in order of first
-    occurrence, of each row's distinct value."""
+    occurrence, of each row's distinct value. ``order`` is an integer column;
+    values that begin at one place come by their own order."""
     first = df.groupBy(*keys).agg(F.min(order).alias("first"))
-    ids = first.withColumn("id", F.row_number().over(Window.orderBy("first")).cast("long"))
+    ids = dense_ids(first.where("first IS NOT NULL"), ["first", *keys], [], "first")
     a, b = df.alias("a"), ids.alias("b")
     joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
     return joined.select(*[F.col(f"a.{c}") for c in df.columns], "b.id")

@@ -57,7 +57,7 @@ def transcripts_by(model: GeneModel, by: str = "gene", use_names: bool = False)
 
 
 def _by_tx(model: GeneModel, p: str) -> DataFrame:
-    rows = model["splicing"].join(model[_TABLE[p]], _ID[p])
+    rows = model.spliced(_TABLE[p], keep_uncoded=False)
     return rows.select(F.col("_tx_id").alias("group_id"), *_range_columns(p), F.col(_ID[p]).alias(f"{p}_id"), f"{p}_name", "exon_rank", F.col("exon_rank").alias("pos"))
 
 
@@ -93,7 +93,7 @@ def introns_by_transcript(model: GeneModel, use_names: bool = False) -> DataFram
 def annotated_splicing(model: GeneModel) -> DataFrame:
     """Splicing with exon and cds ranges and, in coding transcripts, the first
     and last rank that has a cds part (``fc``, ``lc``)."""
-    rows = model["splicing"].join(model["exon"], "_exon_id").join(model["cds"].select("_cds_id", "cds_start", "cds_end"), "_cds_id", "left")
+    rows = model.spliced("exon", "cds")
     own = Window.partitionBy("_tx_id")
     coded = F.when(F.col("_cds_id").isNotNull(), F.col("exon_rank"))
     return rows.withColumns({"fc": F.min(coded).over(own), "lc": F.max(coded).over(own)})

@@ -54,11 +54,7 @@ def _joined(model: GeneModel, key: str, wanted: Sequence[str]) -> DataFrame:
     if "gene" in need:
         df = df.join(model["gene"], "_tx_id", "inner" if key == "gene_id" else "left")
     if need & {"splicing", "exon", "cds"}:
-        df = df.join(model["splicing"], "_tx_id")
-    if "exon" in need:
-        df = df.join(model["exon"], "_exon_id")
-    if "cds" in need:
-        df = df.join(model["cds"], "_cds_id", "left")
+        df = df.join(model.spliced(*[t for t in ("exon", "cds") if t in need]), "_tx_id")
     return df
 
 

@@ -25,7 +25,7 @@ def _query(twin: str | None = None, more: str = "", name: str | None = None):
 
     def add(f):
         key = name or f.__name__
-        QUERIES[key] = lambda spark, sf_dir: f(star.from_star_schema(spark, sf_dir), spark, sf_dir)
+        QUERIES[key] = lambda spark, sf_dir: f(star.stored_model(spark, sf_dir), spark, sf_dir)
         if twin is not None:
             SQL[key] = sql(twin, more)
         return f
@@ -254,6 +254,23 @@ def nearest_after(m, s, d):
     return intervals.nearest_after(star.reads(s, d), extract.exons(m)).select("i", F.col("hit.start").alias("after"))
 
 
+def _neighbour_sql(ahead: bool, pick: str) -> str:
+    after, before = ("x.s > r.e", "x.e < r.s")
+    plus, minus = (after, before) if ahead else (before, after)
+    return f"""SELECT i, CAST(d AS BIGINT) AS distance, CAST({pick}(exon_id) AS BIGINT) AS exon_id FROM (SELECT i, exon_id, d, min(d) OVER (PARTITION BY i) AS least FROM
+(SELECT r.i, x.exon_id, greatest(x.s - r.e, r.s - x.e) - 1 AS d FROM reads r JOIN exon x ON x.chrom = r.chrom AND ((r.strand IN ('+', '*') AND x.strand IN ('+', '*') AND {plus}) OR (r.strand IN ('-', '*') AND x.strand IN ('-', '*') AND {minus})))) WHERE d = least GROUP BY i, d"""
+
+
+@_query(_neighbour_sql(True, "min"))
+def precede(m, s, d):
+    return intervals.precede(star.reads(s, d), extract.exons(m), "exon_id").select("i", "distance", F.col("hit.exon_id").alias("exon_id"))
+
+
+@_query(_neighbour_sql(False, "max"))
+def follow(m, s, d):
+    return intervals.follow(star.reads(s, d), extract.exons(m), "exon_id").select("i", "distance", F.col("hit.exon_id").alias("exon_id"))
+
+
 # -- derived tables ---------------------------------------------------------------
 @_query("""SELECT tr.tx AS tx_id, tx_name, gene_id, coalesce(nexon, 0) AS nexon, coalesce(tx_len, 0) AS tx_len, coalesce(cds_len, 0) AS cds_len, coalesce(u5, 0) AS utr5_len, coalesce(u3, 0) AS utr3_len
 FROM tr LEFT JOIN gene1 ON tr.tx = gene1.tx LEFT JOIN (SELECT tx, count(*) AS nexon, CAST(sum(e - s + 1) AS BIGINT) AS tx_len, CAST(sum(ce - cs + 1) AS BIGINT) AS cds_len FROM sp GROUP BY tx) l ON tr.tx = l.tx

@@ -12,7 +12,7 @@ from strandline.operators.extract import genes
 def as_bed(model: GeneModel) -> DataFrame:
     """One BED row per coding transcript: blocks are exons, the thick part is the
     range of its CDS. Starts count from 0."""
-    rows = model["splicing"].join(model["exon"], "_exon_id").join(model["cds"].select("_cds_id", "cds_start", "cds_end"), "_cds_id", "left")
+    rows = model.spliced("exon", "cds")
     t = rows.groupBy("_tx_id").agg(
         F.min("exon_start").alias("first"), F.max("exon_end").alias("last"), F.min("cds_start").alias("thick"), F.max("cds_end").alias("thick_end"),
         F.array_sort(F.collect_list(F.struct("exon_start", "exon_end"))).alias("blocks"),
@@ -42,7 +42,7 @@ def as_gff(model: GeneModel) -> DataFrame:
     )
     out = g.unionByName(t)
     for p, table, kind in (("exon", "exon", "exon"), ("cds", "cds", "CDS")):
-        rows = model["splicing"].join(model[table], f"_{p}_id")
+        rows = model.spliced(table, keep_uncoded=False)
         out = out.unionByName(rows.select(F.col(f"{p}_chrom").alias("seqnames"), F.col(f"{p}_start").alias("start"), F.col(f"{p}_end").alias("end"), F.col(f"{p}_strand").alias("strand"), F.lit(kind).alias("type"), none.alias("ID"), F.col(f"{p}_name").alias("Name"), F.array(tx_id).alias("Parent")))
     return out
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline import schema
 from strandline.functions.ranges import dense_ids, div
 from strandline.model import GeneModel
+from strandline.sources import store
 
 CHROMS = 20
 CHUNK = 2_000
@@ -26,10 +28,10 @@ def _placed(keys: DataFrame) -> DataFrame:
     })
 
 
-def from_star_schema(spark: SparkSession, sf_dir: str) -> GeneModel:
-    """The model of ``orders`` and ``lineitem``. Line items are grouped first, as
-    order and line number are not unique."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("_tx_id"))
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exons with their transcript: line items grouped first, as order and line
+    number are not unique."""
+    orders = _orders(spark, sf_dir)
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     items = items.select(F.col("l_orderkey").cast("long").alias("_tx_id"), F.col("l_linenumber").cast("long").alias("slot"), "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
     slots = items.groupBy("_tx_id", "slot").agg(F.max("l_suppkey").alias("a"), F.max("q").alias("q")).join(orders, "_tx_id", "left_semi")
@@ -40,30 +42,97 @@ def from_star_schema(spark: SparkSession, sf_dir: str) -> GeneModel:
     cs, ce = F.greatest("start", F.col("base") + 2025), F.least("end", F.col("base") + 5120)
     rows = rows.withColumns({"cds_start": F.when(coding & (cs <= ce), cs), "cds_end": F.when(coding & (cs <= ce), ce)})
     by = Window.partitionBy("_tx_id").orderBy(F.when(F.col("strand") == "+", F.col("slot")).otherwise(-F.col("slot")))
-    rows = rows.withColumn("exon_rank", F.row_number().over(by).cast("long"))
+    return rows.withColumn("exon_rank", F.row_number().over(by).cast("long")).select("_tx_id", "exon_rank", "chrom", "strand", "start", "end", "cds_start", "cds_end")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("_tx_id"))
+
+
+_CDS = ["chrom", "strand", "cds_start", "cds_end"]
+
+
+def _none() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _exon(rows: DataFrame) -> DataFrame:
+    keys = ["chrom", "strand", "start", "end"]
+    ids = dense_ids(rows.select(*keys), keys, ["chrom", "strand"], "start")
+    return ids.select(F.col("id").alias("_exon_id"), _none().alias("exon_name"), F.col("chrom").alias("exon_chrom"), F.col("strand").alias("exon_strand"), F.col("start").alias("exon_start"), F.col("end").alias("exon_end"))
+
+
+def _cds(rows: DataFrame) -> DataFrame:
+    ids = dense_ids(rows.where("cds_start IS NOT NULL").select(*_CDS), _CDS, ["chrom", "strand"], "cds_start")
+    return ids.select(F.col("id").alias("_cds_id"), _none().alias("cds_name"), F.col("chrom").alias("cds_chrom"), F.col("strand").alias("cds_strand"), "cds_start", "cds_end")
 
-    exon_ids = dense_ids(rows.select("chrom", "strand", "start", "end"), ["chrom", "strand", "start", "end"], ["chrom", "strand"], "start")
-    cds_keys = ["chrom", "strand", "cds_start", "cds_end"]
-    cds_ids = dense_ids(rows.where("cds_start IS NOT NULL").select(*cds_keys), cds_keys, ["chrom", "strand"], "cds_start")
-    none = F.lit(None).cast("string")
-    exon = exon_ids.select(F.col("id").alias("_exon_id"), none.alias("exon_name"), F.col("chrom").alias("exon_chrom"), F.col("strand").alias("exon_strand"), F.col("start").alias("exon_start"), F.col("end").alias("exon_end"))
-    cds = cds_ids.select(F.col("id").alias("_cds_id"), none.alias("cds_name"), F.col("chrom").alias("cds_chrom"), F.col("strand").alias("cds_strand"), "cds_start", "cds_end")
-    splicing = rows.join(exon_ids.withColumnRenamed("id", "_exon_id"), ["chrom", "strand", "start", "end"]).join(cds_ids.withColumnRenamed("id", "_cds_id"), cds_keys, "left")
-    splicing = splicing.select("_tx_id", "exon_rank", "_exon_id", "_cds_id", F.lit(None).cast("long").alias("cds_phase"))
 
+def _bundle(rows: DataFrame, exon: DataFrame, cds: DataFrame) -> DataFrame:
+    """Rows with the ids that their places got: all of splicing, exon and cds."""
+    exon_ids = exon.select("_exon_id", F.col("exon_chrom").alias("chrom"), F.col("exon_strand").alias("strand"), F.col("exon_start").alias("start"), F.col("exon_end").alias("end"))
+    cds_ids = cds.select("_cds_id", F.col("cds_chrom").alias("chrom"), F.col("cds_strand").alias("strand"), "cds_start", "cds_end")
+    all_ = rows.join(exon_ids, ["chrom", "strand", "start", "end"]).join(cds_ids, _CDS, "left")
+    coded = lambda c: F.when(F.col("_cds_id").isNotNull(), F.col(c))
+    return all_.select(
+        "_tx_id", "exon_rank", "_exon_id", "_cds_id", F.lit(None).cast("long").alias("cds_phase"),
+        _none().alias("exon_name"), F.col("chrom").alias("exon_chrom"), F.col("strand").alias("exon_strand"), F.col("start").alias("exon_start"), F.col("end").alias("exon_end"),
+        _none().alias("cds_name"), coded("chrom").alias("cds_chrom"), coded("strand").alias("cds_strand"), "cds_start", "cds_end",
+    )
+
+
+def _transcript(orders: DataFrame, rows: DataFrame) -> DataFrame:
     spans = rows.groupBy("_tx_id").agg(F.min("start").alias("s"), F.max("end").alias("e"))
     tx = _placed(orders).join(spans, "_tx_id", "left")
-    transcript = tx.select(
-        "_tx_id", F.when(F.col("_tx_id") % 13 != 0, F.concat(F.lit("T"), F.col("_tx_id").cast("string"))).alias("tx_name"), none.alias("tx_type"),
+    return tx.select(
+        "_tx_id", F.when(F.col("_tx_id") % 13 != 0, F.concat(F.lit("T"), F.col("_tx_id").cast("string"))).alias("tx_name"), _none().alias("tx_type"),
         F.col("chrom").alias("tx_chrom"), F.col("strand").alias("tx_strand"), F.coalesce("s", "base").alias("tx_start"), F.coalesce("e", F.col("base") + 99).alias("tx_end"),
     )
+
+
+def _gene(orders: DataFrame) -> DataFrame:
     g = div(F.col("_tx_id"), 5)
     ids = F.when(g % 11 != 0, F.array_compact(F.array(g, F.when(F.col("_tx_id") % 37 == 0, g + 1))))
-    gene = orders.select("_tx_id", F.explode(ids).alias("g")).select(F.concat(F.lit("G"), F.col("g").cast("string")).alias("gene_id"), "_tx_id")
+    return orders.select("_tx_id", F.explode(ids).alias("g")).select(F.concat(F.lit("G"), F.col("g").cast("string")).alias("gene_id"), "_tx_id")
+
+
+def _chrominfo(transcript: DataFrame) -> DataFrame:
     longest = transcript.agg((F.max("tx_end") + 5000).alias("length"))
-    chroms = spark.range(1, CHROMS + 1).select(F.col("id").alias("_chrom_id"), F.concat(F.lit("chr"), F.col("id").cast("string")).alias("chrom"))
-    chrominfo = chroms.join(F.broadcast(longest), F.lit(True)).select("_chrom_id", "chrom", "length", F.lit(False).alias("is_circular"))
-    return GeneModel.from_tables({"transcript": transcript, "exon": exon, "cds": cds, "splicing": splicing, "gene": gene, "chrominfo": chrominfo})
+    chroms = transcript.sparkSession.range(1, CHROMS + 1).select(F.col("id").alias("_chrom_id"), F.concat(F.lit("chr"), F.col("id").cast("string")).alias("chrom"))
+    return chroms.join(F.broadcast(longest), F.lit(True)).select("_chrom_id", "chrom", "length", F.lit(False).alias("is_circular"))
+
+
+def from_star_schema(spark: SparkSession, sf_dir: str) -> GeneModel:
+    """The model of ``orders`` and ``lineitem``, computed whenever it is read."""
+    rows, orders = _rows(spark, sf_dir), _orders(spark, sf_dir)
+    exon, cds, transcript = _exon(rows), _cds(rows), _transcript(orders, rows)
+    splicing = _bundle(rows, exon, cds).select(*schema.TABLES["splicing"].fieldNames())
+    return GeneModel.from_tables({"transcript": transcript, "exon": exon, "cds": cds, "splicing": splicing, "gene": _gene(orders), "chrominfo": _chrominfo(transcript)})
+
+
+_STORED: dict[tuple, GeneModel] = {}
+
+
+def stored_model(spark: SparkSession, sf_dir: str) -> GeneModel:
+    """The same model written once per session and state of the files: each table
+    when a query first needs it, those with transcripts in buckets of them."""
+    size, state = store.fingerprint(spark, [f"{sf_dir}/orders.parquet", f"{sf_dir}/lineitem.parquet"])
+    key = (spark.sparkContext.applicationId, spark, sf_dir, size, state)
+    if key not in _STORED:
+        valid = lambda name, df: schema.validate(name, df)
+        make = {
+            "rows": lambda t: _rows(spark, sf_dir),
+            "exon": lambda t: valid("exon", _exon(t["rows"])),
+            "cds": lambda t: valid("cds", _cds(t["rows"])),
+            "bundle": lambda t: _bundle(t["rows"], t["exon"], t["cds"]),
+            "splicing": lambda t: t["bundle"].select(*schema.TABLES["splicing"].fieldNames()),
+            "transcript": lambda t: valid("transcript", _transcript(_orders(spark, sf_dir), t["rows"])),
+            "gene": lambda t: valid("gene", _gene(_orders(spark, sf_dir))),
+            "chrominfo": lambda t: valid("chrominfo", _chrominfo(t["transcript"])),
+            "metadata": lambda t: spark.createDataFrame([], schema.TABLES["metadata"]),
+        }
+        kept = ("rows", "exon", "cds", "bundle", "transcript", "gene", "chrominfo")
+        _STORED[key] = GeneModel(store.StoredTables(spark, make, kept, store.buckets_for(spark, size)))
+    return _STORED[key]
 
 
 def reads(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
