@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,15 @@ from pyspark.sql import types as T
 from strandline import schema
 
 
+GENOME_INFO = "strandline.genomeInfo"
+
+
+def genome_info(ranges: DataFrame) -> dict[str, str]:
+    """The metadata of the model that ``ranges`` came from, or nothing."""
+    field_ = next((f for f in ranges.schema.fields if f.name == "seqnames"), None)
+    return dict(field_.metadata.get(GENOME_INFO, {})) if field_ is not None else {}
+
+
 @dataclass(frozen=True)
 class GeneModel:
     """Seven DataFrames and what the user made of the chromosomes.
@@ -75,6 +85,15 @@ class GeneModel:
             rows = rows.join(self.tables[name], f"_{name}_id", "left" if name == "cds" and keep_uncoded else "inner")
         return rows
 
+    def sql(self, text: str, **more: DataFrame) -> DataFrame:
+        """A query over the model's tables, which it names in braces, and other
+        frames given by name: ``SELECT * FROM {transcript} WHERE ...``. Only the
+        tables named are read."""
+        names = {name for _, name, _, _ in Formatter().parse(text) if name}
+        if unknown := sorted(n for n in names if n not in more and n not in schema.TABLES):
+            raise ValueError(f"no such table: {', '.join(unknown)}")
+        return self.spark.sql(text, **{n: more[n] if n in more else self.tables[n] for n in names})
+
     @property
     def spark(self) -> SparkSession:
         return self.tables["transcript"].sparkSession
@@ -115,12 +134,52 @@ class GeneModel:
 
     def equals(self, other: GeneModel) -> bool:
         """Whether two models hold the same rows, chromosome ids aside."""
-        a, b = self.dump(), other.dump()
-        return all(a[k].exceptAll(b[k]).isEmpty() and b[k].exceptAll(a[k]).isEmpty() for k in a)
+        return self.compared(other).where("NOT same").isEmpty()
+
+    def fingerprints(self) -> DataFrame:
+        """Per logical table: rows, and xor and sum of their hashes. They do not
+        depend on order or partitions; tables with equal ones hold the same rows
+        but for a chance of about 2^-64."""
+        out = None
+        for name, df in self.dump().items():
+            parts = [x for c in df.columns for x in (F.col(c).isNull(), F.col(c))]
+            row = df.select(F.xxhash64(*parts).alias("h"))
+            sums = row.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("xor"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("sum")).select(F.lit(name).alias("table"), "*")
+            out = sums if out is None else out.union(sums)
+        return out
+
+    def compared(self, other: GeneModel) -> DataFrame:
+        """table, n_left, n_right, same, only_left, only_right (rows, as a
+        multiset). Rows are compared one by one only in tables whose
+        fingerprints differ: four rows that the driver looks at."""
+        left, right = ({r["table"]: r for r in m.fingerprints().collect()} for m in (self, other))
+        mine, theirs, out = self.dump(), other.dump(), None
+        for name, a in left.items():
+            b = right[name]
+            same = tuple(a)[1:] == tuple(b)[1:]
+            if same:
+                counts = self.spark.range(1).select(F.lit(0).cast("long").alias("only_left"), F.lit(0).cast("long").alias("only_right"))
+            else:
+                sides = mine[name].exceptAll(theirs[name]).select(F.lit(1).alias("l"), F.lit(0).alias("r")).union(theirs[name].exceptAll(mine[name]).select(F.lit(0).alias("l"), F.lit(1).alias("r")))
+                counts = sides.agg(F.coalesce(F.sum("l"), F.lit(0)).alias("only_left"), F.coalesce(F.sum("r"), F.lit(0)).alias("only_right"))
+            row = counts.select(F.lit(name).alias("table"), F.lit(a["n"]).cast("long").alias("n_left"), F.lit(b["n"]).cast("long").alias("n_right"), F.lit(same).alias("same"), "only_left", "only_right")
+            out = row if out is None else out.union(row)
+        return out
 
     # -- metadata ------------------------------------------------------------
     def metadata(self) -> dict[str, str | None]:
-        return {r["name"]: r["value"] for r in self.tables["metadata"].collect()}
+        """The model's key and value pairs, read once: a small table by nature."""
+        if not hasattr(self, "_metadata"):
+            object.__setattr__(self, "_metadata", {r["name"]: r["value"] for r in self.tables["metadata"].collect()})
+        return dict(self._metadata)
+
+    def attached(self, ranges: DataFrame) -> DataFrame:
+        """``ranges`` with the model's metadata on their column seqnames, where it
+        outlives selects, joins and files; ``genome_info`` reads it."""
+        found = self.metadata()
+        if not found or "seqnames" not in ranges.columns:
+            return ranges
+        return ranges.withMetadata("seqnames", {GENOME_INFO: {k: v if v is not None else "" for k, v in found.items()}})
 
     def organism(self) -> str | None:
         return next((v for k, v in self.metadata().items() if k.lower() == "organism"), None)
@@ -167,6 +226,33 @@ class GeneModel:
     def restored(self) -> GeneModel:
         return replace(self, levels=None, active=None, genome_names={})
 
+    def with_seqinfo(self, value: DataFrame, new2old: Sequence[int | None] | None = None) -> GeneModel:
+        """Another seqinfo (seqnames, seqlengths, isCircular, genome and rank, as
+        ``seqinfo`` gives it). Names and genomes may change, and levels be dropped
+        or reordered; lengths and circularity may not. ``new2old`` gives for each
+        new level the place, from 1, of its old one; without it the levels must
+        be the ones now. Dictionaries of chromosomes are small by nature."""
+        order = lambda df: df.orderBy("rank").select("seqnames", "seqlengths", "isCircular", "genome").collect()
+        new, old = order(value), order(self.seqinfo())
+        if new2old is None:
+            if [r["seqnames"] for r in new] != [r["seqnames"] for r in old]:
+                raise ValueError("new2old is needed where the levels are not the ones now")
+            new2old = range(1, len(new) + 1)
+        places = list(new2old)
+        if len(places) != len(new):
+            raise ValueError("new2old must have one place for each new level")
+        if any(p is None for p in places):
+            raise ValueError("new2old cannot have gaps")
+        if len(set(places)) != len(places) or any(not 1 <= p <= len(old) for p in places):
+            raise ValueError("new2old must name each old level at most once")
+        if len({r["seqnames"] for r in new}) != len(new):
+            raise ValueError("levels are repeated")
+        for r, p in zip(new, places, strict=True):
+            if (r["seqlengths"], r["isCircular"]) != (old[p - 1]["seqlengths"], old[p - 1]["isCircular"]):
+                raise ValueError("lengths and circularity cannot change")
+        changed = self.with_seqlevels({old[p - 1]["seqnames"]: r["seqnames"] for r, p in zip(new, places, strict=True)})
+        return replace(changed, genome_names={r["seqnames"]: r["genome"] for r in new if r["genome"] is not None})
+
     def with_genome(self, names: Mapping[str, str]) -> GeneModel:
         """Other genome names by level; lengths and circularity cannot change."""
         if unknown := set(names) - set(self.seqlevels()):

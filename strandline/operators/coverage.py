@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.coords import in_transcription_order
 from strandline.operators.intervals import CORE, coverage_runs, overlap_pairs
 
 
+def merged_seqinfo(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two dictionaries of chromosomes (seqnames, seqlengths, isCircular, genome,
+    rank) as one: what one lacks comes from the other, ``a``'s order goes first.
+    What both have and tell differently is an error when it is read."""
+    far = b.select(F.col("seqnames"), *[F.col(c).alias(f"b_{c}") for c in ("seqlengths", "isCircular", "genome", "rank")])
+    both = a.join(far, "seqnames", "full")
+
+    def agreed(c: str) -> Column:
+        clash = F.raise_error(F.concat(F.lit(f"{c} differ for "), "seqnames")).cast(a.schema[c].dataType)
+        return F.when(F.col(c).isNotNull() & F.col(f"b_{c}").isNotNull() & (F.col(c) != F.col(f"b_{c}")), clash).otherwise(F.coalesce(c, f"b_{c}")).alias(c)
+
+    place = F.struct(F.col("rank").isNull(), F.coalesce("rank", "b_rank"))
+    ranked = both.select("seqnames", *[agreed(c) for c in ("seqlengths", "isCircular", "genome")], place.alias("place"))
+    return ranked.select("seqnames", "seqlengths", "isCircular", "genome", F.row_number().over(Window.orderBy("place")).alias("rank"))
+
+
 def seqlengths(chrominfo: DataFrame, *ranges: DataFrame) -> DataFrame:
-    """(seqnames, length): the known length, or else the last position seen."""
+    """(seqnames, length): the known length, or else the last position seen, at
+    least 0; null for a chromosome without ranges. ``chrominfo`` has chrom and
+    length, or is a seqinfo."""
     seen = ranges[0].select("seqnames", "end")
     for r in ranges[1:]:
         seen = seen.union(r.select("seqnames", "end"))
-    last = seen.groupBy("seqnames").agg(F.max("end").alias("last"))
-    known = chrominfo.select(F.col("chrom").alias("seqnames"), "length")
+    last = seen.groupBy("seqnames").agg(F.greatest(F.max("end"), F.lit(0)).alias("last"))
+    names = ("chrom", "length") if "chrom" in chrominfo.columns else ("seqnames", "seqlengths")
+    known = chrominfo.select(F.col(names[0]).alias("seqnames"), F.col(names[1]).alias("length"))
     return known.join(last, "seqnames", "full").select("seqnames", F.coalesce("length", "last").alias("length"))
 
 
+def trimmed(ranges: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Ranges cut to their chromosome; those that lie outside it go. A chromosome
+    that is unknown, or of unknown length, has no end. One row a chromosome is
+    broadcast."""
+    known = lengths.select(F.col("seqnames").alias("on"), F.col("length").alias("stop"))
+    rows = ranges.join(F.broadcast(known), F.col("seqnames") == F.col("on"), "left")
+    cut = rows.withColumns({"start": F.greatest("start", F.lit(1).cast("long")), "end": F.least("end", F.coalesce("stop", "end"))})
+    return cut.where("end >= start").select(*ranges.columns)
+
+
 def _stranded(reads: DataFrame, ignore_strand: bool) -> DataFrame:
     """Unstranded reads count on both strands."""
     strands = F.array(F.lit("*")) if ignore_strand else F.when(F.col("strand") == "*", F.array(F.lit("+"), F.lit("-"))).otherwise(F.array("strand"))
@@ -53,9 +82,11 @@ def _filled(pieces: DataFrame, exons: DataFrame) -> DataFrame:
     return merged.select("group_id", "start", "end", "depth")
 
 
-def coverage_by_transcript(reads: DataFrame, exons: DataFrame, ignore_strand: bool = False) -> DataFrame:
+def coverage_by_transcript(reads: DataFrame, exons: DataFrame, ignore_strand: bool = False, lengths: DataFrame | None = None) -> DataFrame:
     """Runs (group_id, start, end, depth) that tile every transcript from 1 to
-    its width. Unstranded exons are an error unless strands are ignored."""
+    its width. Unstranded exons are an error unless strands are ignored. Where
+    ``lengths`` (seqnames, length) are given, reads count inside them only."""
+    reads = reads if lengths is None else trimmed(reads, lengths)
     if ignore_strand:
         # positions still count in transcription order, but depth is shared
         runs = coverage_runs(reads).select("seqnames", "start", "end", F.explode(F.array(F.lit("+"), F.lit("-"), F.lit("*"))).alias("strand"), "depth")

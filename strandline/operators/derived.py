@@ -78,13 +78,16 @@ def tidy_introns(model: GeneModel, drop_geneless: bool = False, multiple: str =
 
 
 def _parts(rows: DataFrame, lists: list[str], single_gene: bool, number: str) -> DataFrame:
-    """Disjoint parts of ``rows`` with the distinct values of ``lists``."""
-    pairs = disjoin(rows)
-    agg = [F.array_sort(F.collect_set(f"r.{c}")).alias(c) for c in lists]
-    parts = pairs.groupBy(F.col("l.seqnames").alias("seqnames"), F.col("l.start").alias("start"), F.col("l.end").alias("end"), F.col("l.strand").alias("strand")).agg(*agg)
+    """Disjoint parts of ``rows`` with the distinct values of ``lists``. Rows of
+    one range are one before they meet the parts, with their values as arrays."""
+    place = ["seqnames", "start", "end", "strand"]
+    ranges = rows.groupBy(*place).agg(*[F.collect_set(c).alias(c) for c in lists])
+    pairs = disjoin(ranges)
+    agg = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"r.{c}")))).alias(c) for c in lists]
+    parts = pairs.groupBy(*[F.col(f"l.{c}").alias(c) for c in place]).agg(*agg)
     if not single_gene:
         return parts
-    parts = parts.where(F.size("gene_id") == 1).withColumn("gene_id", F.get("gene_id", 0))
+    parts = parts.where(F.size("gene_id") == 1).withColumn("gene_id", F.get("gene_id", F.lit(0)))
     return parts.withColumn(number, F.row_number().over(Window.partitionBy("gene_id").orderBy("seqnames", "strand", "start")).cast("long"))
 
 

@@ -41,7 +41,7 @@ def _by_gene(model: GeneModel, p: str) -> DataFrame:
 
 
 def _grouped(model: GeneModel, rows: DataFrame, by: str, use_names: bool) -> DataFrame:
-    return model.shown(_named(model, rows, by, use_names), "group_id")
+    return model.attached(model.shown(_named(model, rows, by, use_names), "group_id"))
 
 
 def transcripts_by(model: GeneModel, by: str = "gene", use_names: bool = False) -> DataFrame:

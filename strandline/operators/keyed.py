@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline import schema
@@ -21,25 +21,72 @@ def public(column: str) -> str:
 
 def columns(model: GeneModel) -> list[str]:
     """Upper-case names of all columns but those of metadata and chrominfo."""
-    return sorted({public(c) for t in _ORDER for c in schema.TABLES[t].fieldNames()})
+    return sorted({public(c) for t in _ORDER for c in model[t].columns})
 
 
 def keytypes(model: GeneModel) -> list[str]:
     return list(KEYTYPES)
 
 
-def keys(model: GeneModel, keytype: str = "GENEID", pattern: str | None = None, column: str | None = None) -> DataFrame:
+def value_counts(model: GeneModel) -> DataFrame:
+    """For each public column: n_values and n_keys (rows and distinct rows with a
+    value there) in the table that owns it, and whether it is a key type."""
+    out, homes = None, {f"_{p}_id": t for t, p in schema.PREFIX.items()}
+    for t in _ORDER:
+        own = [c for c in model[t].columns if schema.owner(c, homes.get(c)) == t]
+        if not own:
+            continue
+        values = F.explode(F.array(*[F.struct(F.lit(public(c)).alias("column"), F.col(c).cast("string").alias("value")) for c in own])).alias("x")
+        rows = model[t].select(values).select("x.*").groupBy("column", "value").agg(F.count("value").alias("n"))
+        counts = rows.groupBy("column").agg(F.sum("n").alias("n_values"), F.count("value").alias("n_keys"))
+        out = counts if out is None else out.union(counts)
+    return out.select("column", "n_values", "n_keys", F.col("column").isin(*KEYTYPES).alias("keytype"))
+
+
+def near(text: Column, pattern: str, edits: int) -> Column:
+    """Whether some part of ``text`` is at most ``edits`` insertions, deletions or
+    changes from ``pattern``. Of its edits + 1 pieces one must be there as it is,
+    which rules out most texts; parts of the others are compared in a band of
+    the distance only."""
+    size = len(pattern)
+    if not size:
+        raise ValueError("an empty pattern is near everything")
+    if edits >= size:
+        return text.isNotNull()
+    step = [size * k // (edits + 1) for k in range(edits + 2)]
+    held = F.lit(False)
+    for a, b in zip(step, step[1:], strict=False):
+        held = held | text.contains(pattern[a:b])
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - edits) + 1, F.lit(1)))
+    close = lambda s, n: F.levenshtein(F.substring(text, s, F.lit(n)), F.lit(pattern), edits) >= 0
+
+    def any_length(s: Column) -> Column:
+        found = close(s, size)
+        for n in range(size - edits, size + edits + 1):
+            found = found if n == size else found | close(s, n)
+        return found
+
+    return F.when(held, F.exists(starts, any_length)).otherwise(False)
+
+
+def keys(model: GeneModel, keytype: str = "GENEID", pattern: str | None = None, column: str | None = None, fuzzy: bool = False, edits: int | None = None) -> DataFrame:
     """Distinct keys as text; with ``column`` only keys with a value there, or
-    one that matches ``pattern``."""
+    one that matches ``pattern``. A pattern is a regular expression; with
+    ``fuzzy`` a plain text, of which some part of the value must be within
+    ``edits``, by default a tenth of the pattern's length, rounded up. Without a
+    pattern ``fuzzy`` is ignored."""
     key = schema.internal(keytype)
     own = schema.owner(key)
+    matches = lambda value: near(value, pattern, -(-len(pattern) // 10) if edits is None else edits) if fuzzy else value.rlike(pattern)
     if column is None or public(column) == public(key):
-        found = model[own].select(F.col(key).cast("string").alias("key"))
-        return (found.where(F.col("key").rlike(pattern)) if pattern else found).where("key IS NOT NULL").distinct().orderBy("key")
+        found = model[own].select(F.col(key).cast("string").alias("key")).where("key IS NOT NULL").distinct()
+        return (found.where(matches(F.col("key"))) if pattern else found).orderBy("key")
     value = schema.internal(column)
-    rows = _joined(model, key, [value]).select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"))
-    found = rows.where(F.col("value").rlike(pattern)) if pattern else rows.where("value IS NOT NULL")
-    return found.where("key IS NOT NULL").select("key").distinct().orderBy("key")
+    rows = _joined(model, key, [value]).select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value")).where("key IS NOT NULL AND value IS NOT NULL")
+    if pattern:
+        good = rows.select("value").distinct().where(matches(F.col("value")))
+        rows = rows.join(good, "value", "left_semi")
+    return rows.select("key").distinct().orderBy("key")
 
 
 def _joined(model: GeneModel, key: str, wanted: Sequence[str]) -> DataFrame:

@@ -5,15 +5,17 @@ Queries return scalars: arrays are joined in order, so that engines compare.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline import model, schema
 from strandline.model import GeneModel
 from strandline.operators import coords, coverage, derived, extract, grouped, intervals, keyed, overlaps, sequences
 from strandline.plans.model_sql import BASE, RC, sql
-from strandline.sources import sinks, star
+from strandline.sources import genome, sinks, star, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -486,6 +488,15 @@ def extract_tx_seqs(m, s, d):
     return _digest(sequences.model_transcript_seqs(m, e, star.genome(m, e), star.CHUNK), "group_id")
 
 
+@_query(_SEQ)
+def extract_tx_seqs_from_fasta(m, s, d):
+    """The whole genome written as FASTA, read back by position and cut."""
+    folder = f"{store.shared_folder(s)}/genome-{uuid.uuid4().hex}"
+    genome.write_fasta(star.genome(m), f"{folder}/fasta", width=500)
+    chunks = genome.store_chunks(genome.read_fasta(s, f"{folder}/fasta", star.CHUNK), f"{folder}/chunks")
+    return _digest(sequences.model_transcript_seqs(m, grouped.exons_by(m, "tx"), chunks, star.CHUNK), "group_id")
+
+
 def _range_seq_sql(ranges: str, key: str) -> str:
     return f"""SELECT {key}, md5(string_agg(CASE WHEN strand = '-' THEN {RC.format(b=BASE)} ELSE {BASE} END, '' ORDER BY CASE WHEN strand = '-' THEN -p ELSE p END)) AS digest, count(*) AS width
 FROM (SELECT *, unnest(range(s, e + 1)) AS p FROM ({ranges})) GROUP BY {key}"""
@@ -552,24 +563,39 @@ def keys_by_column(m, s, d):
     return keyed.keys(m, "TXID", "^G10", "GENEID")
 
 
-# The public names of the model's columns and key types.
-_COLUMNS = """CDSCHROM CDSEND CDSID CDSNAME CDSPHASE CDSSTART CDSSTRAND EXONCHROM EXONEND EXONID EXONNAME EXONRANK EXONSTART EXONSTRAND
-GENEID TXCHROM TXEND TXID TXNAME TXSTART TXSTRAND TXTYPE""".split()
-_KEYTYPES = "CDSID CDSNAME EXONID EXONNAME GENEID TXID TXNAME".split()
+@_query("""SELECT key FROM (SELECT DISTINCT key, l, unnest(range(1, length(key) + 1)) AS i FROM (SELECT DISTINCT tx_name AS key FROM tr WHERE tx_name IS NOT NULL) k, (VALUES (3), (4), (5)) v(l))
+GROUP BY key HAVING min(levenshtein(substr(key, CAST(i AS BIGINT), CAST(l AS BIGINT)), 'T123')) <= 1""")
+def keys_fuzzy(m, s, d):
+    return keyed.keys(m, "TXNAME", "T123", fuzzy=True)
+
+
+@_query("""SELECT DISTINCT gene_id AS key FROM ge JOIN tr USING (tx) WHERE tx_name IN (SELECT key FROM (SELECT DISTINCT key, l, unnest(range(1, length(key) + 1)) AS i FROM (SELECT DISTINCT tx_name AS key FROM tr WHERE tx_name IS NOT NULL) k, (VALUES (2), (3), (4), (5), (6)) v(l))
+GROUP BY key HAVING min(levenshtein(substr(key, CAST(i AS BIGINT), CAST(l AS BIGINT)), '9999')) <= 2)""")
+def keys_fuzzy_by_column(m, s, d):
+    return keyed.keys(m, "GENEID", "9999", "TXNAME", fuzzy=True, edits=2)
 
 
-def _names(names: list[str]) -> str:
-    return f"SELECT name FROM (VALUES {', '.join(f'({n!r})' for n in names)}) v(name)"
+def _named_counts(table: str, names: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({e}) AS n_values, count(DISTINCT {e}) AS n_keys FROM {table}" for c, e in names.items())
 
 
-@_query(_names(_COLUMNS))
+# The public names of the model's columns, by the SQL of their values, and the key types.
+_TR = {"TXID": "tx", "TXNAME": "tx_name", "TXTYPE": "NULL", "TXCHROM": "chrom", "TXSTRAND": "strand", "TXSTART": "ts", "TXEND": "te"}
+_SP = {"EXONRANK": "rk", "CDSPHASE": "NULL"}
+_EX = {"EXONID": "exon_id", "EXONNAME": "NULL", "EXONCHROM": "chrom", "EXONSTRAND": "strand", "EXONSTART": "s", "EXONEND": "e"}
+_CD = {"CDSID": "cds_id", "CDSNAME": "NULL", "CDSCHROM": "chrom", "CDSSTRAND": "strand", "CDSSTART": "cs", "CDSEND": "ce"}
+_KEYTYPES = "CDSID CDSNAME EXONID EXONNAME GENEID TXID TXNAME".split()
+_COUNTS = " UNION ALL ".join(_named_counts(t, n) for t, n in (("tr", _TR), ("sp", _SP), ("exon", _EX), ("cdsd", _CD), ("ge", {"GENEID": "gene_id"})))
+
+
+@_query(f"SELECT * FROM ({_COUNTS})")
 def columns(m, s, d):
-    return s.createDataFrame([(c,) for c in keyed.columns(m)], "name string")
+    return keyed.value_counts(m).drop("keytype")
 
 
-@_query(_names(_KEYTYPES))
+@_query(f"SELECT \"column\" AS keytype, n_keys FROM ({_COUNTS}) WHERE \"column\" IN ({', '.join(map(repr, _KEYTYPES))})")
 def keytypes(m, s, d):
-    return s.createDataFrame([(k,) for k in keyed.keytypes(m)], "name string")
+    return keyed.value_counts(m).where("keytype").select(F.col("column").alias("keytype"), "n_keys")
 
 
 @_query(f"""SELECT CAST(k.i AS INTEGER) AS i, k.key AS "TXID", x.chrom AS "TXCHROM" FROM {_values(_TXIDS)} LEFT JOIN (SELECT tx, chrom FROM tr WHERE chrom IN ('chr2', 'chr3')) x ON CAST(x.tx AS VARCHAR) = k.key""")
@@ -617,3 +643,74 @@ def stream_overlap_counts(m, s, d):
     from strandline.streaming.reads import overlap_counts_of
 
     return overlap_counts_of(s, d, extract.exons(m))
+
+
+# -- whole models ----------------------------------------------------------------
+@_query("SELECT name, value, (SELECT count(*) FROM tr) AS n_transcripts FROM (VALUES ('Genome', 'made-up'), ('Organism', 'Ordo lineatus'), ('Source', 'orders and lineitem'), ('Schema version', '1.2')) v(name, value)")
+def genome_info(m, s, d):
+    """What a written extractor result tells of the model it came from."""
+    path = f"{store.shared_folder(s)}/transcripts-{uuid.uuid4().hex}"
+    extract.transcripts(m).write.parquet(path)
+    back = s.read.parquet(path).join(m["gene"].select(F.col("_tx_id").alias("tx_id")).distinct(), "tx_id", "left")
+    told = s.createDataFrame(sorted(model.genome_info(back).items()), "name string, value string")
+    return back.groupBy().agg(F.count(F.lit(1)).alias("n_transcripts")).join(F.broadcast(told), F.lit(True)).select("name", "value", "n_transcripts")
+
+
+@_query("""SELECT tr.chrom, count(DISTINCT tr.tx) AS n_tx, count(DISTINCT gene_id) AS n_genes, CAST(coalesce(sum(x.n), 0) AS BIGINT) AS n_exons FROM tr LEFT JOIN (SELECT tx, min(gene_id) AS gene_id FROM ge GROUP BY tx) g USING (tx)
+LEFT JOIN (SELECT tx, count(*) AS n FROM sp GROUP BY tx) x USING (tx) GROUP BY tr.chrom""")
+def sql_over_model(m, s, d):
+    return m.sql("""SELECT t.tx_chrom AS chrom, count(DISTINCT t._tx_id) AS n_tx, count(DISTINCT gene_id) AS n_genes, coalesce(sum(x.n), 0) AS n_exons FROM {transcript} t
+        LEFT JOIN (SELECT _tx_id, min(gene_id) AS gene_id FROM {gene} GROUP BY _tx_id) g ON g._tx_id = t._tx_id
+        LEFT JOIN (SELECT _tx_id, count(*) AS n FROM {splicing} GROUP BY _tx_id) x ON x._tx_id = t._tx_id GROUP BY t.tx_chrom""")
+
+
+def _damaged(m, s):
+    """A copy of the model in another folder: ends moved, links and chromosomes
+    lost, rows twice."""
+    path = f"{store.shared_folder(s)}/damaged-{uuid.uuid4().hex}"
+    t = dict(m.tables.items())
+    t["transcript"] = t["transcript"].withColumn("tx_end", F.col("tx_end") + F.when(F.col("_tx_id") % 101 == 0, 1).otherwise(0)).where("_tx_id % 103 <> 0")
+    t["gene"] = t["gene"].union(t["gene"].where("gene_id LIKE '%77'"))
+    t["chrominfo"] = t["chrominfo"].where("chrom <> 'chr3'")
+    model.GeneModel.from_tables(t).save(path)
+    return model.GeneModel.load(s, path)
+
+
+@_query("""SELECT * FROM (SELECT 'transcripts' AS "table", count(*) AS n_left, count(*) FILTER (tx % 103 <> 0) AS n_right, false AS same, count(*) FILTER (tx % 101 = 0 OR tx % 103 = 0) AS only_left, count(*) FILTER (tx % 101 = 0 AND tx % 103 <> 0) AS only_right FROM tr
+UNION ALL SELECT 'splicings', count(*), count(*), true, 0, 0 FROM sp
+UNION ALL SELECT 'genes', count(*), count(*) + count(*) FILTER (gene_id LIKE '%77'), count(*) FILTER (gene_id LIKE '%77') = 0, 0, count(*) FILTER (gene_id LIKE '%77') FROM ge
+UNION ALL SELECT 'chrominfo', 20, 19, false, 1, 0)""")
+def compare_models(m, s, d):
+    return m.compared(_damaged(m, s))
+
+
+@_query("""SELECT "check", CAST(missing AS BIGINT) AS missing, CAST(repeated AS BIGINT) AS repeated FROM (
+SELECT 'transcript id' AS "check", 0 AS missing, 0 AS repeated UNION ALL SELECT 'exon id', 0, 0 UNION ALL SELECT 'cds id', 0, 0 UNION ALL SELECT 'splicing key', 0, 0 UNION ALL SELECT 'splicing._exon_id', 0, 0 UNION ALL SELECT 'splicing._cds_id', 0, 0
+UNION ALL SELECT 'transcript.tx_chrom', 1, 0 UNION ALL SELECT 'exon.exon_chrom', 1, 0 UNION ALL SELECT 'cds.cds_chrom', 1, 0
+UNION ALL SELECT 'splicing._tx_id', count(DISTINCT tx), 0 FROM sp WHERE tx % 103 = 0 UNION ALL SELECT 'gene._tx_id', count(DISTINCT tx), 0 FROM ge WHERE tx % 103 = 0 UNION ALL SELECT 'gene key', 0, count(*) FROM ge WHERE gene_id LIKE '%77')""")
+def key_report(m, s, d):
+    return schema.key_report(_damaged(m, s).tables)
+
+
+@_query(f"""SELECT chrom AS seqnames, coalesce(CASE WHEN CAST(substr(chrom, 4) AS BIGINT) % 3 = 0 THEN 500000 + CAST(substr(chrom, 4) AS BIGINT) END, max(e)) AS length
+FROM (SELECT chrom, e FROM reads UNION ALL SELECT chrom, e FROM sp) GROUP BY chrom""")
+def seqlengths_inferred(m, s, d):
+    """Lengths told by one of two dictionaries, or else by reads and exons."""
+    info = m.seqinfo().withColumn("seqlengths", F.lit(None).cast("long"))
+    told = m.seqinfo().withColumn("seqlengths", F.when(F.col("rank") % 3 == 0, 500_000 + F.col("rank")))
+    return coverage.seqlengths(coverage.merged_seqinfo(info, told), star.reads(s, d), grouped.exons_by(m, "tx"))
+
+
+@_query(_coverage_sql("(r.strand = x.strand OR r.strand = '*')").replace("JOIN reads r", "JOIN (SELECT i, chrom, s, least(e, 500000) AS e, strand FROM reads WHERE s <= 500000) r"))
+def coverage_trimmed(m, s, d):
+    """Reads count inside their chromosome only."""
+    lengths = m.seqinfo().select("seqnames", F.lit(500_000).cast("long").alias("length"))
+    return _summed(coverage.coverage_by_transcript(star.reads(s, d), grouped.exons_by(m, "tx").select("group_id", *intervals.CORE), lengths=lengths))
+
+
+@_query(f"SELECT 'new_chr' || k AS seqnames, {_LEN} AS seqlengths, false AS \"isCircular\", 'genome ' || k AS genome, CAST(21 - k AS INTEGER) AS rank FROM (SELECT unnest(range(1, 21)) AS k)")
+def seqinfo_replaced(m, s, d):
+    """Levels renamed and turned round, each with a genome of its own."""
+    now = m.seqinfo()
+    new = now.withColumns({"seqnames": F.concat(F.lit("new_"), "seqnames"), "genome": F.concat(F.lit("genome "), F.substring("seqnames", 4, 9)), "rank": 21 - F.col("rank")})
+    return m.with_seqinfo(new, list(range(20, 0, -1))).seqinfo().withColumn("rank", F.col("rank") + 1)

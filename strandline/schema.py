@@ -6,7 +6,10 @@ Strands are ``+``, ``-`` and ``*`` (unstranded). Ids and coordinates are longs.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VERSION = "1.2"
@@ -83,3 +86,30 @@ def key_violations(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     out["splicing key"] = t["splicing"].groupBy("_tx_id", "exon_rank").count().where("count > 1")
     out["gene key"] = t["gene"].groupBy("gene_id", "_tx_id").count().where("count > 1")
     return out
+
+
+def key_report(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """check, missing, repeated: for every reference how many distinct keys have
+    no row in the table they refer to, for every unique key how many come more
+    than once. All checks are one grouping of (check, key), with rows counted
+    before they are shuffled."""
+    t, rows = tables, None
+
+    def add(check: str, df: DataFrame, columns: list[str], parent: bool) -> None:
+        nonlocal rows
+        part = df.select(F.lit(check).alias("check"), F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"}).alias("key"), F.lit(int(parent)).alias("parent"), F.lit(int(not parent)).alias("child"))
+        rows = part if rows is None else rows.union(part)
+
+    for parent, p in PREFIX.items():
+        add(f"{parent} id", t[parent], [f"_{p}_id"], True)
+        add(f"{parent}.{p}_chrom", t[parent], [f"{p}_chrom"], False)
+        add(f"{parent}.{p}_chrom", t["chrominfo"], ["chrom"], True)
+        add(f"splicing._{p}_id", t["splicing"].where(F.col(f"_{p}_id").isNotNull()), [f"_{p}_id"], False)
+        add(f"splicing._{p}_id", t[parent], [f"_{p}_id"], True)
+    add("gene._tx_id", t["gene"], ["_tx_id"], False)
+    add("gene._tx_id", t["transcript"], ["_tx_id"], True)
+    add("splicing key", t["splicing"], ["_tx_id", "exon_rank"], True)
+    add("gene key", t["gene"], ["gene_id", "_tx_id"], True)
+    keys = rows.groupBy("check", "key").agg(F.sum("parent").alias("parent"), F.sum("child").alias("child"))
+    unique = F.col("check").isin(*[f"{parent} id" for parent in PREFIX], "splicing key", "gene key")
+    return keys.groupBy("check").agg(F.count_if((F.col("child") > 0) & (F.col("parent") == 0)).alias("missing"), F.count_if(unique & (F.col("parent") > 1)).alias("repeated"))

@@ -29,7 +29,7 @@ def read_gff3(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(
         F.url_decode(F.replace("seqid", F.lit("+"), F.lit("%2B"))).alias("seqid"), "type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
         F.when(F.col("strand").isin("+", "-"), F.col("strand")).otherwise("*").alias("strand"), F.expr("try_cast(phase AS bigint)").alias("phase"),
-        _attribute("ID").alias("feature"), F.filter(parents, lambda p: p != "").alias("Parent"), _attribute("Name").alias("Name"),
+        _attribute("ID").alias("feature"), F.transform(F.filter(parents, lambda p: p != ""), lambda p: F.url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))).alias("Parent"), _attribute("Name").alias("Name"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.model import GeneModel
@@ -47,11 +47,18 @@ def as_gff(model: GeneModel) -> DataFrame:
     return out
 
 
+def _escaped(text: Column) -> Column:
+    """The characters that have a meaning in GFF3, as percent codes."""
+    for c in "%;=&,\t\n\r>":
+        text = F.replace(text, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return text
+
+
 def write_gff3(model: GeneModel, path: str) -> None:
     rows = as_gff(model)
     part = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"{name}="), value))
-    text = F.concat_ws(";", part("ID", F.col("ID")), part("Name", F.col("Name")), part("Parent", F.array_join("Parent", ",")))
+    text = F.concat_ws(";", part("ID", _escaped(F.col("ID"))), part("Name", _escaped(F.col("Name"))), part("Parent", F.array_join(F.transform("Parent", _escaped), ",")))
     strand = F.when(F.col("strand") == "*", ".").otherwise(F.col("strand"))
     phase = F.when(F.col("type") == "CDS", "0").otherwise(".")
-    out = rows.select("seqnames", F.lit("strandline"), "type", "start", "end", F.lit("."), strand, phase, text)
+    out = rows.select(_escaped(F.col("seqnames")), F.lit("strandline"), "type", "start", "end", F.lit("."), strand, phase, text)
     out.write.csv(path, sep="\t", header=False, quote="", escape="")

@@ -16,6 +16,7 @@ from strandline.sources import store
 
 CHROMS = 20
 CHUNK = 2_000
+METADATA = [("Genome", "made-up"), ("Organism", "Ordo lineatus"), ("Source", "orders and lineitem"), ("Schema version", schema.VERSION)]
 
 
 def _placed(keys: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def from_star_schema(spark: SparkSession, sf_dir: str) -> GeneModel:
     rows, orders = _rows(spark, sf_dir), _orders(spark, sf_dir)
     exon, cds, transcript = _exon(rows), _cds(rows), _transcript(orders, rows)
     splicing = _bundle(rows, exon, cds).select(*schema.TABLES["splicing"].fieldNames())
-    return GeneModel.from_tables({"transcript": transcript, "exon": exon, "cds": cds, "splicing": splicing, "gene": _gene(orders), "chrominfo": _chrominfo(transcript)})
+    return GeneModel.from_tables({"transcript": transcript, "exon": exon, "cds": cds, "splicing": splicing, "gene": _gene(orders), "chrominfo": _chrominfo(transcript), "metadata": spark.createDataFrame(METADATA, schema.TABLES["metadata"])})
 
 
 _STORED: dict[tuple, GeneModel] = {}
@@ -128,7 +129,7 @@ def stored_model(spark: SparkSession, sf_dir: str) -> GeneModel:
             "transcript": lambda t: valid("transcript", _transcript(_orders(spark, sf_dir), t["rows"])),
             "gene": lambda t: valid("gene", _gene(_orders(spark, sf_dir))),
             "chrominfo": lambda t: valid("chrominfo", _chrominfo(t["transcript"])),
-            "metadata": lambda t: spark.createDataFrame([], schema.TABLES["metadata"]),
+            "metadata": lambda t: spark.createDataFrame(METADATA, schema.TABLES["metadata"]),
         }
         kept = ("rows", "exon", "cds", "bundle", "transcript", "gene", "chrominfo")
         _STORED[key] = GeneModel(store.StoredTables(spark, make, kept, store.buckets_for(spark, size)))
