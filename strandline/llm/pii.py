@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import written
+from strandline.llm.common import dropped, written
 from strandline.llm.spans import joined, luhn, matches, only_digits, run_start
 
 KINDS = ("email", "ip", "card", "phone")
@@ -34,7 +34,6 @@ UNSEEN = (
     rf"|(?<![{_LOCAL}])[{_LOCAL}]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]++)++"
     r"|(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Za-z:])"
 )
-ROUNDS = 3
 MIN_SEEDS = 5
 MIN_SCORE = 0.9
 #: A context of whose values fewer than this share are known is too loose to vouch.
@@ -127,26 +126,33 @@ def _scores(edges: DataFrame, known: DataFrame) -> DataFrame:
     return rows.where((F.col("n") >= MIN_SEEDS) & (F.col("n") >= MIN_SHARE * F.col("values")) & (F.col("score") >= MIN_SCORE)).select("pattern", "k", "score")
 
 
-def discovered(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def discovered(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(value, k, trust) of the unseen values that trusted patterns vouch for.
 
     Each round scores the patterns by all that is known, seeds and what earlier
     rounds found alike, so a context that only found values share is learnt in
-    its turn. A value's trust is one minus the product of its patterns' doubts.
+    its turn. What is found stays, with the trust it had then, so the rounds end:
+    with the first that finds nothing new, or after ``rounds``. A value's trust
+    is one minus the product of its patterns' doubts.
     """
     others = written(edges.where("NOT seed").select("pattern", "k", "value"), "pii-unseen")
-    seeds = written(edges.where("seed").groupBy("value").agg(F.min("k").alias("kind")), "pii-seeds")
-    found = None
-    for _ in range(rounds):
-        known = seeds if found is None else seeds.union(found.select("value", F.col("k").alias("kind")))
+    known = written(edges.where("seed").groupBy("value").agg(F.min("k").alias("kind")).select("*", F.lit(None).cast("double").alias("trust")), "pii-known")
+    turn = 0
+    while rounds is None or turn < rounds:
         # a written table, so that a pattern with many values can be split over tasks
-        trusted = written(_scores(edges, known), "pii-patterns")
+        trusted = written(_scores(edges, known.select("value", "kind")), "pii-patterns")
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
         trust = others.join(trusted, ["pattern", "k"]).groupBy("value", "k").agg((1 - doubt).alias("trust"))
         best = trust.groupBy("value").agg(F.max(F.struct("trust", -F.col("k"))).alias("best"))
-        best = best.where(F.col("best.trust") >= MIN_SCORE).select("value", (-F.col("best.col2")).alias("k"), "best.trust")
-        found = written(best.join(seeds, "value", "left_anti"), "pii-found")
-    return found
+        best = best.where(F.col("best.trust") >= MIN_SCORE).select("value", (-F.col("best.col2")).alias("kind"), "best.trust")
+        new = written(best.join(known, "value", "left_anti"), "pii-found")
+        if new.isEmpty():
+            break
+        before, known = known, written(known.union(new), "pii-known")
+        for done in (before, trusted, new):
+            dropped(done)
+        turn += 1
+    return known.where("trust IS NOT NULL").select("value", F.col("kind").alias("k"), "trust")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -160,7 +166,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     scan = written(scanned(docs), "pii-scan")
     extra = discovered(written(graph(scan), "pii-graph"))
     at = scan.select("doc_id", "text hash", F.explode("unseen").alias("x")).select("doc_id", "text hash", F.col("x.m").alias("value"), "x.s", "x.e")
-    more = at.join(extra, "value").groupBy("doc_id", "text hash").agg(F.collect_set(F.struct("k", "s", "e")).alias("more"))
+    # what is found grows with the corpus, so it is never broadcast
+    more = at.join(extra.hint("merge"), "value").groupBy("doc_id", "text hash").agg(F.collect_set(F.struct("k", "s", "e")).alias("more"))
     a, b = scan.alias("a"), more.alias("b")
     rows = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text hash") == F.col("b.text hash")), "left")
     base = F.transform("a.base", lambda x: F.struct(x["k"], x["s"], x["e"]))

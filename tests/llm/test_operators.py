@@ -191,6 +191,20 @@ def test_pii_learns_from_what_it_found(spark):
         assert got[n] == ("" if "order" in t else f"phone:{m.start()}:{m.end()}" if m else got[n]), t
 
 
+def test_pii_learns_to_the_end(spark):
+    """A chain of contexts, each of which only the one before can teach; and the same cut short."""
+    names = ["please ring me:", "his fallback line:", "night desk extension:", "branch office reach:", "spare handset code:", "last resort dial:"]
+    texts = [f"please ring me: +1 (20{i % 10}) 555-01{i:02d} thanks" for i in range(8)]
+    for n, name in enumerate(names):
+        values = [f"{300 + n} 867 53{i:02d}" for i in range(8)]
+        texts += [f"{c} {v} today" for c in (name, *names[n + 1 : n + 2]) for v in values]
+    frame = spark.createDataFrame([(n, t, "en", "s", 0) for n, t in enumerate(texts)], SCHEMA)
+    edges = pii.written(pii.graph(pii.scanned(frame)), "test-graph")
+    assert pii.discovered(edges).count() == 48
+    assert pii.discovered(edges, rounds=2).count() == 16
+    assert all(r["spans"] for r in pii.digest(pii.personal_data(frame)).collect())
+
+
 def test_many_matches(spark):
     text = "x@y.zz " * 2_000 + "é +1 234 567 8901"
     got = pii.digest(pii.personal_data(spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA))).first()
