@@ -9,14 +9,15 @@ so on, until a bucket has SMALL members or fewer, which are compared one by one.
 Between rounds linked members are folded into components. A bucket whose
 members are all of one component is done: nothing in it can join anything.
 
-Every round is exact for what it hands on. After ROUNDS of them what is left is
-dropped: buckets of more than SMALL members that three heads did not join. It is
-the one loss beside that of the bands; the tests measure the recall of both.
+Every round is exact for what it hands on, and the rounds go on until no bucket
+is left, so all links inside buckets are found; what the bands miss is the only
+loss. A new bucket lacks its head, so buckets shrink and the rounds end.
 
 What is dealt again is kept small without loss:
 
 * Similar sets share at least SIMILARITY of either, so a set needs only its first
   elements of those that h lacks, in one order for all: the rarest (prefix filter).
+  The more of them, the less it shares with h, and the less the smaller h is.
 * Buckets with the same members are one.
 * Jaccard distance is a metric. A member of the head's component can be similar
   only to others whose distance from the head is at most 0.2 more than its own.
@@ -33,10 +34,7 @@ from strandline.llm.graph import components
 SIMILARITY = 0.8
 _SLACK = 1e-9
 #: Buckets of so many members are settled pair by pair; larger ones have a head.
-SMALL = 16
-#: Most rounds. Copies edited in many places share most of what a head lacks, in
-#: ever new combinations, so further rounds cost much and join next to nothing.
-ROUNDS = 3
+SMALL = 64
 
 
 def _overlap(a: str, b: str) -> Column:
@@ -56,7 +54,9 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         "far": F.when(union > 0, 1 - F.col("both") / union).otherwise(0.0),
         "rest": F.when(F.col("deal"), F.array_except("set", "head set")),
     })
-    shared = F.greatest(F.lit(1), F.ceil(SIMILARITY * F.size("set") - _SLACK) - F.col("both"))
+    # similar sets of sizes s and t share SIMILARITY / (1 + SIMILARITY) of s + t, and t is no less than the head's
+    least = F.greatest(SIMILARITY * F.size("set"), SIMILARITY / (1 + SIMILARITY) * (F.size("set") + F.size("head set")))
+    shared = F.greatest(F.lit(1), F.ceil(least - _SLACK) - F.col("both"))
     return rows.select("head", "key", "linked", "far", "rest", (F.size("rest") - shared + 1).cast("int").alias("first"))
 
 
@@ -78,7 +78,7 @@ def _dealt_again(rows: DataFrame) -> DataFrame:
     return chosen.select(F.xxhash64("bucket", "x.element").alias("bucket"), "key", "order", "component")
 
 
-def similar_links(members: DataFrame, sets: DataFrame, name: str, rounds: int = ROUNDS) -> DataFrame:
+def similar_links(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """Component labels of the members: key, ``component``, for linked keys only.
 
     ``members``: bucket (long), key (long), distinct. ``sets``: key and ``set``, an
@@ -88,7 +88,7 @@ def similar_links(members: DataFrame, sets: DataFrame, name: str, rounds: int =
     sizes = sets.select("key", order.alias("order"))
     dealt = written(members.join(sizes, "key").withColumn("component", F.col("key")), f"{name}-dealt")
     links, labels, seen, small = None, None, None, 2
-    for turn in range(rounds):
+    while True:
         each = F.xxhash64("key")
         heads = dealt.groupBy("bucket").agg(
             F.min_by("key", "order").alias("head"), F.min("component").alias("low"), F.max("component").alias("high"),
@@ -112,8 +112,6 @@ def similar_links(members: DataFrame, sets: DataFrame, name: str, rounds: int =
         found = told.where("linked").select(F.col("head").alias("a"), F.col("key").alias("b"))
         links = written(found if links is None else links.union(found), f"{name}-links")
         labels = written(components(links, "a", "b", f"{name}-components"), f"{name}-labels")
-        if turn == rounds - 1:
-            break
         now = large.select("bucket", "key", "head", "order").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
         of_head = now.where("key = head").select("bucket", F.col("component").alias("head component"))
         apart = now.join(of_head, "bucket").where("key <> head").join(told, ["head", "key"])

@@ -37,8 +37,8 @@ REACH = 26
 #: 5 bands of 2 rows find a pair of similarity 0.8 with 1 - 0.36^5 = 99.4 %,
 #: and one of 0.9 with 99.98 %.
 BANDS, ROWS = 5, 2
-_MULTIPLY = mixed(np.arange(1, 101, dtype=np.uint64)) | np.uint64(1)
-_ADD = mixed(np.arange(101, 201, dtype=np.uint64))
+_MULTIPLY = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+_ADD = mixed(np.arange(101, 357, dtype=np.uint64))
 _SLAB = 1 << 14
 _WHERE = ["doc_id", "text_hash"]
 
@@ -65,22 +65,22 @@ def _hashed(shingles: np.ndarray, n: int) -> np.ndarray:
     return rows ^ (rows >> np.uint64(29))
 
 
-def _keys(least: np.ndarray) -> np.ndarray:
-    """The band keys of signatures, a row each."""
-    n = least.shape[1] // ROWS
-    rows = mixed(least).reshape(-1, n, ROWS)
+def _keys(least: np.ndarray, size: int = ROWS) -> np.ndarray:
+    """The band keys of signatures, a row each; a band has ``size`` hashes."""
+    n = least.shape[1] // size
+    rows = mixed(least).reshape(-1, n, size)
     keys = np.broadcast_to(np.arange(n, dtype=np.uint64), rows.shape[:2])
-    for r in range(ROWS):
+    for r in range(size):
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
     return keys.view(np.int64)
 
 
-def bands(shingles: np.ndarray, n: int = BANDS) -> np.ndarray:
-    """The ``n`` band keys of a set of shingle hashes."""
-    least = np.full(n * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def bands(shingles: np.ndarray, n: int = BANDS, size: int = ROWS) -> np.ndarray:
+    """The ``n`` band keys, of ``size`` hashes each, of a set of shingle hashes."""
+    least = np.full(n * size, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), _SLAB):
-        least = np.minimum(least, _hashed(shingles[at : at + _SLAB], n * ROWS).min(axis=0))
-    return _keys(least[None])[0]
+        least = np.minimum(least, _hashed(shingles[at : at + _SLAB], n * size).min(axis=0))
+    return _keys(least[None], size)[0]
 
 
 def bands_of_lines(shingles: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
