@@ -1,16 +1,18 @@
 """Main text of web pages, with site templates removed.
 
-Every page is read once into element subtrees, which are hashed. Spark counts
-each hash over the pages of a host, and subtrees that recur on many of the
-host's pages are deleted, on every page. What is left of the article, where a
-page marks one, or of the page is the text.
+Every page is read once into element subtrees, which are all hashed. Spark
+counts each hash over the pages of a host, and subtrees that recur on many of
+the host's pages are deleted, on every page. Marks settle what counts cannot
+see, as an advert that differs from page to page or a menu on a host of two
+pages: elements that are navigation, forms, comments and so on by their tag,
+role or class go next. Of what is left, the text is the article where a page
+marks one, or else its main element, or else the page. How much each of the
+three steps took away is told beside the text.
 
 Inside a marked article only boxes (div, section, lists of links and the like)
-can be deleted for recurring: a sentence that many pages share is still the
-article's. Marks settle what counts cannot see, as an advert that differs from
-page to page: elements that are navigation, forms, comments and so on by their
-tag, role or class. Class words that an article's own parts may bear as well
-(AMBIGUOUS) count inside an article only if the subtree recurs.
+and marked elements can be deleted for recurring: a sentence that many pages
+share is still the article's. Class words that an article's own parts may bear
+as well (AMBIGUOUS) count inside an article only if the subtree recurs.
 """
 
 from __future__ import annotations
@@ -71,19 +73,21 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     return False, doubt
 
 
+#: Where a block stands, and whether its marks rule it out.
+ARTICLE, MAIN, REST, MARKED = 0, 1, 2, 4
+
+
 class Page:
     """Subtrees and text blocks of a page, from one walk over its markup.
 
-    ``nodes``: (hash, parent) of elements; ``kept``: (text, node) of the blocks of
-    articles, or else of the main element, or else of the page. The node is the
-    nearest element that can be deleted, or -1.
+    ``nodes``: (hash, parent) of elements; ``blocks``: (text, node, zone) in page
+    order. The node is the nearest element that can be deleted, or -1; the zone
+    is ARTICLE, MAIN or REST, plus MARKED where marks rule the block out.
     """
 
     def __init__(self, html: str | None):
         self.nodes: list[list[int]] = []
-        self.blocks: list[tuple[str, int]] = []
-        self.articles: list[tuple[str, int]] = []
-        self.mains: list[tuple[str, int]] = []
+        self.blocks: list[tuple[str, int, int]] = []
         self._stack: list[tuple] = []  # tag, node, unwanted, article, main, hash state, whether that is its own
         self._open: Counter[str] = Counter()
         self._text: list[str] = []
@@ -92,10 +96,6 @@ class Page:
         while self._stack:
             self._pop()
 
-    @property
-    def kept(self) -> list[tuple[str, int]]:
-        return self.articles or self.mains or self.blocks
-
     def _walk(self, html: str) -> None:
         at, n = 0, len(html)
         while at < n:
@@ -138,8 +138,8 @@ class Page:
         article = up[3] or tag == "article"
         out, doubt = _unwanted(tag, attributes, article)
         out = out or up[2]
-        own = not (out or tag in ("html", "body", "main", "article")) and (not article or doubt or tag in _BOXES)
-        node, state = up[1], None if out else up[5]
+        own = tag not in ("html", "body", "main", "article") and (not article or out or doubt or tag in _BOXES)
+        node, state = up[1], up[5]
         if own:
             node, state = len(self.nodes), xxhash.xxh64(f"<{tag}{attributes.rstrip('/ ')}>")
             self.nodes.append([0, up[1]])
@@ -176,35 +176,32 @@ class Page:
         _, node, out, article, main, state, _ = self._stack[-1] if self._stack else ("", -1, False, False, False, None, False)
         if state is not None:
             state.update(b"<>" + text.encode("utf-8", "surrogatepass"))
-        if out:
-            return
-        (self.articles if article else self.mains if main else self.blocks).append((text, node))
+        self.blocks.append((text, node, (ARTICLE if article else MAIN if main else REST) + MARKED * out))
 
 
 _SCHEMA = T.StructType([
     T.StructField("row", T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType())])),
     T.StructField("host", T.StringType()),
-    T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("places", T.ArrayType(T.IntegerType())),
+    T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("zones", T.ArrayType(T.IntegerType())),
     T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("parents", T.ArrayType(T.IntegerType())),
 ])
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """row (page_id, url), host, the blocks of the page's main part (``texts``, and
-    ``places``: the subtree of each) and its subtrees (``hashes``, ``parents``)."""
+    """row (page_id, url), host, the blocks of the page (``texts``, ``places``: the
+    subtree of each, ``zones``) and its subtrees (``hashes``, ``parents``)."""
     row = T.StructType([pages.schema["page_id"], pages.schema["url"]])
     schema = T.StructType([T.StructField("row", row), *_SCHEMA.fields[1:]])
-    arrow = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    arrow = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                out: tuple[list, ...] = ([], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [])
                 for html in part.column(2):
                     page = Page(html.as_py())
-                    blocks = page.kept
-                    for column, value in zip(out, ([t for t, _ in blocks], [p for _, p in blocks], [h for h, _ in page.nodes], [p for _, p in page.nodes]), strict=True):
+                    for column, value in zip(out, (*([b[k] for b in page.blocks] for k in range(3)), [h for h, _ in page.nodes], [p for _, p in page.nodes]), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(out, arrow, strict=True)]], schema.names)
 
@@ -220,37 +217,48 @@ def templates(read: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
     return seen.where(F.col("n") >= min_pages).join(pages, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
 
 
-def _without(texts: list[str], places: list[int], hashes: list[int], parents: list[int], gone: set[int]) -> list[str]:
+def _without(texts: list[str], places: list[int], zones: list[int], hashes: list[int], parents: list[int], gone: set[int]) -> tuple[str, int, int, int]:
+    """The text, and the code points that counts, marks and zones took away."""
     dead: list[bool] = []
     for h, p in zip(hashes, parents, strict=True):
         dead.append(h in gone or (p >= 0 and dead[p]))
-    return [t for t, p in zip(texts, places, strict=True) if p < 0 or not dead[p]]
+    took, left = [0, 0, 0], []
+    for text, place, zone in zip(texts, places, zones, strict=True):
+        if place >= 0 and dead[place]:
+            took[0] += len(text)
+        elif zone >= MARKED:
+            took[1] += len(text)
+        else:
+            left.append((text, zone))
+    best = min((zone for _, zone in left), default=REST)
+    took[2] = sum(len(text) for text, zone in left if zone != best)
+    return "\n".join(text for text, zone in left if zone == best), *took
 
 
 def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """page_id, url, text, n_chars: one row per row of ``pages``.
+    """page_id, url, text, n_chars, by_counts, by_marks, by_zone (code points that
+    recurring subtrees, marks, and the choice of the article took away): one row
+    per row of ``pages``.
 
     Null and empty html, and pages without text, give the empty text. A null url
     is a host of its own; null ids and repeated rows stay as they are; a host with
     most of the pages is counted by partial sums; very long pages are read whole;
-    other columns are ignored; an empty table gives an empty result.
+    other columns are ignored, whatever their names; an empty table gives an
+    empty result.
     """
     read = written(read_pages(pages), "html-pages")
-    found = templates(read, min_pages, min_share)
-    inside = F.exists("places", lambda p: p >= 0)
-    rest = read.where(inside).withColumn("key", F.struct("row", F.xxhash64("texts", "hashes").alias("of")))
-    hits = rest.select("key", "host", F.explode(F.array_distinct("hashes")).alias("hash")).join(found, ["host", "hash"])
+    found = written(templates(read, min_pages, min_share), "html-templates")
+    keyed = read.withColumn("key", F.struct("row", F.xxhash64("texts", "hashes").alias("of")))
+    hits = keyed.select("key", "host", F.explode(F.array_distinct("hashes")).alias("hash")).join(found, ["host", "hash"])
     gone = hits.groupBy("key").agg(F.collect_set("hash").alias("gone")).withColumnRenamed("key", "gone key")
     none = F.array().cast("array<bigint>")
-    left = rest.join(gone, F.col("key").eqNullSafe(F.col("gone key")), "left").select("row", "texts", "places", "hashes", "parents", F.coalesce("gone", none).alias("gone"))
-    schema = T.StructType([read.schema["row"], T.StructField("text", T.StringType())])
+    left = keyed.join(gone, F.col("key").eqNullSafe(F.col("gone key")), "left").select("row", "texts", "places", "zones", "hashes", "parents", F.coalesce("gone", none).alias("gone"))
+    schema = T.StructType([read.schema["row"], *T.StructType.fromDDL("text string, by_counts long, by_marks long, by_zone long").fields])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(1, 6)]
-            texts = ["\n".join(_without(*each[:4], set(each[4]))) for each in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema.names)
+            columns = [batch.column(i).to_pylist() for i in range(1, 7)]
+            made = list(zip(*[_without(*each[:5], set(each[5])) for each in zip(*columns, strict=True)], strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made[0], pa.string()), *[pa.array(c, pa.int64()) for c in made[1:]]], schema.names)
 
-    own = read.where(~inside).select("row", F.array_join("texts", "\n").alias("text"))
-    both = own.union(left.mapInArrow(apply, schema))
-    return both.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+    return left.mapInArrow(apply, schema).select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"), "by_counts", "by_marks", "by_zone")
