@@ -27,14 +27,16 @@ class GeneModel:
     """Seven DataFrames and what the user made of the chromosomes.
 
     ``levels`` maps stored chromosome names to the names shown, in order; None
-    shows all as stored. ``active`` limits keyed lookups. Every change returns a
-    new object.
+    shows all as stored. ``active`` limits keyed lookups. Results come in the
+    order of their ids, which sorts them over all tasks; ``unordered`` leaves
+    that out. Every change returns a new object.
     """
 
     tables: Mapping[str, DataFrame]
     levels: Mapping[str, str] | None = None
     active: frozenset[str] | None = None
     genome_names: Mapping[str, str] = field(default_factory=dict)
+    ordered: bool = True
 
     # -- making --------------------------------------------------------------
     @classmethod
@@ -106,9 +108,9 @@ class GeneModel:
         order = ["_tx_id", "exon_rank", "_exon_id", "exon_name", "exon_chrom", "exon_strand", "exon_start", "exon_end", "_cds_id", "cds_name", "cds_start", "cds_end", "cds_phase"]
         genes = t["gene"].select("_tx_id", "gene_id")
         return {
-            "transcripts": plain(t["transcript"]).orderBy("tx_id"),
-            "splicings": plain(splicings.select(*order)).orderBy("tx_id", "exon_rank"),
-            "genes": plain(genes).orderBy("tx_id", "gene_id"),
+            "transcripts": self.in_order(plain(t["transcript"]), "tx_id"),
+            "splicings": self.in_order(plain(splicings.select(*order)), "tx_id", "exon_rank"),
+            "genes": self.in_order(plain(genes), "tx_id", "gene_id"),
             "chrominfo": t["chrominfo"].orderBy("_chrom_id").select("chrom", "length", "is_circular"),
         }
 
@@ -141,7 +143,7 @@ class GeneModel:
         depend on order or partitions; tables with equal ones hold the same rows
         but for a chance of about 2^-64."""
         out = None
-        for name, df in self.dump().items():
+        for name, df in self.unordered().dump().items():
             parts = [x for c in df.columns for x in (F.col(c).isNull(), F.col(c))]
             row = df.select(F.xxhash64(*parts).alias("h"))
             sums = row.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("xor"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("sum")).select(F.lit(name).alias("table"), "*")
@@ -153,7 +155,7 @@ class GeneModel:
         multiset). Rows are compared one by one only in tables whose
         fingerprints differ: four rows that the driver looks at."""
         left, right = ({r["table"]: r for r in m.fingerprints().collect()} for m in (self, other))
-        mine, theirs, out = self.dump(), other.dump(), None
+        mine, theirs, out = self.unordered().dump(), other.unordered().dump(), None
         for name, a in left.items():
             b = right[name]
             same = tuple(a)[1:] == tuple(b)[1:]
@@ -223,6 +225,12 @@ class GeneModel:
             raise ValueError(f"levels cannot be added: {', '.join(unknown)}")
         return replace(self, levels={now[old]: name for old, name in new.items()})
 
+    def unordered(self) -> GeneModel:
+        return replace(self, ordered=False)
+
+    def in_order(self, rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.orderBy(*columns) if self.ordered else rows
+
     def restored(self) -> GeneModel:
         return replace(self, levels=None, active=None, genome_names={})
 

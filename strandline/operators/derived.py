@@ -38,7 +38,7 @@ def transcript_lengths(model: GeneModel, with_cds_len: bool = False, with_utr5_l
     )
     wanted = ["nexon", "tx_len", *[c for c, on in (("cds_len", with_cds_len), ("utr5_len", with_utr5_len), ("utr3_len", with_utr3_len)) if on]]
     rows = model["transcript"].select("_tx_id", "tx_name").join(scalar_genes(model, multiple), "_tx_id", "left").join(sums, "_tx_id", "left")
-    return rows.select(F.col("_tx_id").alias("tx_id"), "tx_name", "gene_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in wanted]).orderBy("tx_id")
+    return model.in_order(rows.select(F.col("_tx_id").alias("tx_id"), "tx_name", "gene_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in wanted]), "tx_id")
 
 
 def transcript_widths(starts: Column, ends: Column) -> Column:
@@ -54,7 +54,7 @@ def _longs(values: Column) -> Column:
 def tidy_transcripts(model: GeneModel, drop_geneless: bool = False, multiple: str = "join") -> DataFrame:
     tx = model["transcript"].join(scalar_genes(model, multiple), "_tx_id", "inner" if drop_geneless else "left")
     rows = tx.select(F.col("tx_chrom").alias("seqnames"), F.col("tx_start").alias("start"), F.col("tx_end").alias("end"), F.col("tx_strand").alias("strand"), F.col("_tx_id").alias("tx_id"), "tx_name", "gene_id")
-    return model.shown(rows).orderBy(*(["gene_id", "tx_id"] if drop_geneless else ["tx_id"]))
+    return model.in_order(model.shown(rows), *(["gene_id", "tx_id"] if drop_geneless else ["tx_id"]))
 
 
 def _tidy(model: GeneModel, members: DataFrame, columns: list[str], drop_geneless: bool, multiple: str) -> DataFrame:
@@ -62,7 +62,7 @@ def _tidy(model: GeneModel, members: DataFrame, columns: list[str], drop_geneles
     genes = scalar_genes(model, multiple).withColumnRenamed("_tx_id", "tx_id")
     rows = members.withColumnRenamed("group_id", "tx_id").join(tx, "tx_id").join(genes, "tx_id", "inner" if drop_geneless else "left")
     last = [c for c in ("exon_rank", "pos") if c in members.columns][:1]
-    return rows.select("seqnames", "start", "end", "strand", "tx_id", "tx_name", "gene_id", *columns).orderBy(*(["gene_id"] if drop_geneless else []), "tx_id", *(last if last[0] in columns else ["start"]))
+    return model.in_order(rows.select("seqnames", "start", "end", "strand", "tx_id", "tx_name", "gene_id", *columns), *(["gene_id"] if drop_geneless else []), "tx_id", *(last if last[0] in columns else ["start"]))
 
 
 def tidy_exons(model: GeneModel, drop_geneless: bool = False, multiple: str = "join", strict: bool = False) -> DataFrame:

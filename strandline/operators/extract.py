@@ -101,7 +101,7 @@ def features(model: GeneModel, proxy: str, columns: Sequence[str] | Mapping[str,
     core = [F.col(f"{p}_chrom").alias("seqnames"), F.col(f"{p}_start").alias("start"), F.col(f"{p}_end").alias("end"), F.col(f"{p}_strand").alias("strand")]
     name = [F.coalesce(f"{p}_name", F.lit("")).alias("name")] if use_names else []
     result = out.select(*core, *name, *[F.col(c).alias(o) for o, c in asked.items()], F.col(key).alias("order id"))
-    return model.attached(model.shown(result).orderBy("order id").drop("order id"))
+    return model.attached(model.in_order(model.shown(result), "order id").drop("order id"))
 
 
 def transcripts(model: GeneModel, columns=("tx_id", "tx_name"), filter: Filter | None = None, use_names: bool = False) -> DataFrame:
@@ -139,7 +139,7 @@ def genes(model: GeneModel, columns=("gene_id",), filter: Filter | None = None,
         full = star(model, owners | {"gene", "transcript"})
         lists = full.groupBy("gene_id").agg(*[F.array_sort(F.collect_set(c)).alias(schema.shown(c)) for c in others])
         ranges = ranges.join(lists, "gene_id", "left")
-    return model.attached(ranges.select("seqnames", "start", "end", "strand", "gene_id", *[schema.shown(c) for c in others]).orderBy("gene_id", "seqnames", "strand"))
+    return model.attached(model.in_order(ranges.select("seqnames", "start", "end", "strand", "gene_id", *[schema.shown(c) for c in others]), "gene_id", "seqnames", "strand"))
 
 
 def _around(model: GeneModel, make, upstream: int, downstream: int, use_names: bool, **how) -> DataFrame:

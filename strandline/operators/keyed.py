@@ -80,13 +80,13 @@ def keys(model: GeneModel, keytype: str = "GENEID", pattern: str | None = None,
     matches = lambda value: near(value, pattern, -(-len(pattern) // 10) if edits is None else edits) if fuzzy else value.rlike(pattern)
     if column is None or public(column) == public(key):
         found = model[own].select(F.col(key).cast("string").alias("key")).where("key IS NOT NULL").distinct()
-        return (found.where(matches(F.col("key"))) if pattern else found).orderBy("key")
+        return model.in_order(found.where(matches(F.col("key"))) if pattern else found, "key")
     value = schema.internal(column)
     rows = _joined(model, key, [value]).select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value")).where("key IS NOT NULL AND value IS NOT NULL")
     if pattern:
         good = rows.select("value").distinct().where(matches(F.col("value")))
         rows = rows.join(good, "value", "left_semi")
-    return rows.select("key").distinct().orderBy("key")
+    return model.in_order(rows.select("key").distinct(), "key")
 
 
 def _joined(model: GeneModel, key: str, wanted: Sequence[str]) -> DataFrame:

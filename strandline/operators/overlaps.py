@@ -65,7 +65,7 @@ def map_ids_to_ranges(model: GeneModel, keys: Mapping[str, Sequence], feature: s
     listed = dict(rows.dtypes)[shown].startswith("array")
     rows = rows.withColumn("key", F.explode(F.array_distinct(shown)) if listed else F.col(shown))
     rows = rows if columns and shown in columns else rows.drop(shown)
-    return asked.join(rows, "key", "left").orderBy("i", "start", "end")
+    return model.in_order(asked.join(rows, "key", "left"), "i", "start", "end")
 
 
 def distance(model: GeneModel, x: DataFrame, ids: DataFrame, feature: str = "tx", ignore_strand: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ def _query(twin: str | None = None, more: str = "", name: str | None = None):
 
     def add(f):
         key = name or f.__name__
-        QUERIES[key] = lambda spark, sf_dir: f(star.stored_model(spark, sf_dir), spark, sf_dir)
+        QUERIES[key] = lambda spark, sf_dir: f(star.stored_model(spark, sf_dir).unordered(), spark, sf_dir)
         if twin is not None:
             SQL[key] = sql(twin, more)
         return f
@@ -76,9 +76,9 @@ def exons_by_tx_name(m, s, d):
     return extract.exons(m, ("exon_id",), {"TXNAME": ["T5", "T12", "T100", "T101"]}, use_names=True)
 
 
-@_query("""SELECT chrom AS seqnames, cs AS start, ce AS "end", strand, cds_id, count(DISTINCT tx) AS n_tx FROM sp WHERE cds_id IS NOT NULL GROUP BY chrom, cs, ce, strand, cds_id""")
+@_query("""SELECT chrom AS seqnames, cs AS start, ce AS "end", strand, cds_id, string_agg(CAST(tx AS VARCHAR), ',' ORDER BY tx) AS tx_id FROM sp WHERE cds_id IS NOT NULL GROUP BY chrom, cs, ce, strand, cds_id""")
 def cds(m, s, d):
-    return extract.cds(m, ("cds_id", "tx_id")).withColumn("n_tx", F.size("tx_id").cast("long")).drop("tx_id")
+    return extract.cds(m, ("cds_id", "tx_id")).withColumn("tx_id", _text("tx_id"))
 
 
 _GENES = "SELECT gene_id, chrom AS seqnames, strand, min(ts) AS start, max(te) AS \"end\" FROM ge JOIN tr USING (tx) GROUP BY gene_id, chrom, strand"
@@ -168,10 +168,10 @@ _group("five_utrs", grouped.five_utrs_by_transcript, f"SELECT {_G.format(g='tx')
 _group("three_utrs", grouped.three_utrs_by_transcript, f"SELECT {_G.format(g='tx')}, exon_id, rk AS exon_rank FROM utr3", ("exon_id", "exon_rank"))
 
 
-@_query("SELECT tr.tx AS group_id, count(intron.tx) AS n FROM tr LEFT JOIN intron ON tr.tx = intron.tx GROUP BY tr.tx")
+@_query("SELECT tr.tx AS group_id, coalesce(string_agg(s || '-' || e, ',' ORDER BY s), '') AS members FROM tr LEFT JOIN intron ON tr.tx = intron.tx GROUP BY tr.tx")
 def introns_nested(m, s, d):
     rows = grouped.nested(grouped.introns_by_transcript(m), grouped.group_names(m))
-    return rows.select("group_id", F.size("members").cast("long").alias("n"))
+    return rows.select("group_id", F.array_join(F.transform("members", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",").alias("members"))
 
 
 # -- overlaps ------------------------------------------------------------------
@@ -220,6 +220,23 @@ def map_ranges_to_ids(m, s, d):
     return overlaps.map_ranges_to_ids(m, named, "tx")
 
 
+@_query(f"SELECT 'read' || r.i AS name, x.exon_id FROM reads r JOIN exon x ON {_ANY}")
+def map_ranges_to_exon_ids(m, s, d):
+    named = star.reads(s, d).withColumn("name", F.concat(F.lit("read"), F.col("i").cast("string")))
+    return overlaps.map_ranges_to_ids(m, named, "exon")
+
+
+@_query(f"""SELECT 'read' || r.i AS name, x.gene_id FROM reads r JOIN (SELECT gene_id, min(seqnames) AS chrom, min(strand) AS strand, min(start) AS s, max("end") AS e FROM ({_GENES}) GROUP BY gene_id HAVING count(*) = 1) x ON {_ANY}""")
+def map_ranges_to_gene_ids(m, s, d):
+    named = star.reads(s, d).withColumn("name", F.concat(F.lit("read"), F.col("i").cast("string")))
+    return overlaps.map_ranges_to_ids(m, named, "gene")
+
+
+@_query("SELECT exon_id, cds_id FROM (SELECT DISTINCT exon_id, chrom, strand, s, e FROM sp) x JOIN cdsd c ON c.chrom = x.chrom AND c.strand = x.strand AND c.cs = x.s AND c.ce = x.e")
+def overlaps_equal(m, s, d):
+    return intervals.overlap_pairs(extract.exons(m), extract.cds(m), kind="equal").select("l.exon_id", "r.cds_id")
+
+
 _KEYS = ["G7", "G2", "no such gene", "G7", "G18"]
 
 
@@ -230,6 +247,13 @@ def map_ids_to_ranges(m, s, d):
     return rows.select("i", F.col("key").alias("gene_id"), "tx_id", "seqnames", "start", "end", "strand")
 
 
+@_query(f"""SELECT k.i, k.gene AS gene_id, x.exon_id, x.chrom AS seqnames, x.s AS start, x.e AS "end" FROM (VALUES {", ".join(f"({i}, '{k}')" for i, k in enumerate(_KEYS))}) k(i, gene)
+LEFT JOIN (SELECT DISTINCT gene_id, exon_id, chrom, s, e FROM ge JOIN sp USING (tx)) x ON x.gene_id = k.gene""")
+def map_ids_to_exon_ranges(m, s, d):
+    rows = overlaps.map_ids_to_ranges(m, {"gene_id": _KEYS}, "exon", ("exon_id",))
+    return rows.select("i", F.col("key").alias("gene_id"), "exon_id", "seqnames", "start", "end")
+
+
 _DIST = "CASE WHEN r.chrom = y.chrom AND (r.strand = y.strand OR r.strand = '*') THEN greatest(0, greatest(r.s, y.s) - least(r.e, y.e) - 1) END"
 
 
@@ -326,9 +350,9 @@ def exonic_parts_single_gene(m, s, d):
     return rows.select("seqnames", "start", "end", "strand", "gene_id", F.size("tx_id").cast("long").alias("n_tx"), "exonic_part")
 
 
-@_query(f"SELECT {_PART}, count(DISTINCT tx) AS n_tx FROM part GROUP BY chrom, strand, ps, pe", _segments("intron"))
+@_query(f"SELECT {_PART}, array_to_string(list_sort(list_distinct(list(tx))), ',') AS tx_id FROM part GROUP BY chrom, strand, ps, pe", _segments("intron"))
 def intronic_parts(m, s, d):
-    return derived.intronic_parts(m).select("seqnames", "start", "end", "strand", F.size("tx_id").cast("long").alias("n_tx"))
+    return derived.intronic_parts(m).select("seqnames", "start", "end", "strand", _text("tx_id").alias("tx_id"))
 
 
 @_query("""SELECT tx AS group_id, rk AS exon_rank, s - CASE WHEN strand = '-' THEN aft ELSE bef END AS start, e + CASE WHEN strand = '-' THEN bef ELSE aft END AS "end"
