@@ -18,7 +18,8 @@ What is dealt again is kept small without loss:
 * Similar sets share at least SIMILARITY of either, so a set needs only its first
   elements of those that h lacks, in one order for all: the rarest (prefix filter).
   The more of them, the less it shares with h, and the less the smaller h is.
-* Buckets with the same members are one.
+* A pair goes on only in the bucket of its first common element.
+* Buckets with the same members, which left the same elements behind, are one.
 * Jaccard distance is a metric. A member of the head's component can be similar
   only to others whose distance from the head is at most 0.2 more than its own.
 """
@@ -43,9 +44,8 @@ def _overlap(a: str, b: str) -> Column:
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """head, key, ``linked``, ``far`` (Jaccard distance); and where ``deal`` is set
-    ``rest``, the elements of the key's set that its head lacks, and ``first``: of
-    that many of them, in any order that is the same for all, a similar set must
-    have one."""
+    ``rest``, the elements of the key's set that its head lacks, and ``shared``:
+    how many of them a similar set must have, unless it is similar to the head."""
     h, k = sets.select(F.col("key").alias("head"), F.col("set").alias("head set")), sets.select("key", "set")
     rows = pairs.join(h, "head").join(k, "key").withColumn("both", _overlap("set", "head set"))
     union = F.size("set") + F.size("head set") - F.col("both")
@@ -57,25 +57,26 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     # similar sets of sizes s and t share SIMILARITY / (1 + SIMILARITY) of s + t, and t is no less than the head's
     least = F.greatest(SIMILARITY * F.size("set"), SIMILARITY / (1 + SIMILARITY) * (F.size("set") + F.size("head set")))
     shared = F.greatest(F.lit(1), F.ceil(least - _SLACK) - F.col("both"))
-    return rows.select("head", "key", "linked", "far", "rest", (F.size("rest") - shared + 1).cast("int").alias("first"))
+    return rows.select("head", "key", "linked", "far", "rest", shared.cast("int").alias("shared"))
 
 
 def _dealt_again(rows: DataFrame) -> DataFrame:
     """New buckets, one for each bucket and element, from bucket, key, order,
-    component, rest and first.
+    component, gone, rest and shared.
 
     Elements are ordered by how many members of the bucket have them, rarest
-    first. What one component alone has joins nothing but counts as one of a
-    member's first, so members with much of their own drop out.
+    first. What one component alone has joins nothing, so members with much of
+    their own drop out. A pair belongs to the bucket of its first common element:
+    of what else it has in common nothing comes earlier, so a member notes its
+    earlier elements (``gone``), by which it is not dealt again in that bucket.
     """
-    each = rows.where("first > 0").select("bucket", "key", "component", F.explode("rest").alias("element"))
+    each = rows.where(F.size("rest") >= F.col("shared")).select("bucket", "key", "component", F.explode("rest").alias("element"))
     common = each.groupBy("bucket", "element").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     common = common.where("low <> high").select("bucket", "element", "n")
     kept = each.join(common.hint("merge"), ["bucket", "element"]).groupBy("bucket", "key").agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("kept"))
-    both = rows.join(kept, ["bucket", "key"])
-    own = F.size("rest") - F.size("kept")
-    chosen = both.where(F.col("first") > own).select("bucket", "key", "order", "component", F.explode(F.slice("kept", F.lit(1), F.col("first") - own)).alias("x"))
-    return chosen.select(F.xxhash64("bucket", "x.element").alias("bucket"), "key", "order", "component")
+    both = rows.join(kept, ["bucket", "key"]).withColumn("first", F.size("kept") - F.col("shared") + 1).where("first > 0")
+    chosen = both.select("bucket", "key", "order", "component", "gone", F.col("kept.element").alias("all"), F.posexplode(F.slice("kept", F.lit(1), F.col("first"))).alias("at", "x"))
+    return chosen.select(F.xxhash64("bucket", "x.element").alias("bucket"), "key", "order", "component", F.concat("gone", F.slice("all", F.lit(1), F.col("at"))).alias("gone"))
 
 
 def similar_links(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -86,10 +87,10 @@ def similar_links(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """
     order = F.shiftleft(F.size("set").cast("long"), 31).bitwiseOR(F.xxhash64("key").bitwiseAND(F.lit((1 << 31) - 1)))
     sizes = sets.select("key", order.alias("order"))
-    dealt = written(members.join(sizes, "key").withColumn("component", F.col("key")), f"{name}-dealt")
+    dealt = written(members.join(sizes, "key").withColumns({"component": F.col("key"), "gone": F.array().cast("array<bigint>")}), f"{name}-dealt")
     links, labels, seen, small = None, None, None, 2
     while True:
-        each = F.xxhash64("key")
+        each = F.xxhash64("key", F.array_sort("gone"))
         heads = dealt.groupBy("bucket").agg(
             F.min_by("key", "order").alias("head"), F.min("component").alias("low"), F.max("component").alias("high"),
             F.count(F.lit(1)).alias("n"), F.bit_xor(each).alias("x"), F.bit_xor(F.xxhash64(each)).alias("y"),
@@ -112,14 +113,15 @@ def similar_links(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         found = told.where("linked").select(F.col("head").alias("a"), F.col("key").alias("b"))
         links = written(found if links is None else links.union(found), f"{name}-links")
         labels = written(components(links, "a", "b", f"{name}-components"), f"{name}-labels")
-        now = large.select("bucket", "key", "head", "order").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        now = large.select("bucket", "key", "head", "order", "gone").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
         of_head = now.where("key = head").select("bucket", F.col("component").alias("head component"))
         apart = now.join(of_head, "bucket").where("key <> head").join(told, ["head", "key"])
-        apart = written(apart.select("bucket", "key", "order", "component", "head component", "far", "rest", "first"), f"{name}-apart")
+        apart = apart.withColumn("rest", F.array_except("rest", "gone"))
+        apart = written(apart.select("bucket", "key", "order", "component", "gone", "head component", "far", "rest", "shared"), f"{name}-apart")
         other = F.col("component") != F.col("head component")
         near = apart.groupBy("bucket").agg(F.min(F.when(other, F.col("far"))).alias("least")).where("least IS NOT NULL")
         needed = apart.join(near, "bucket").where(other | (F.col("far") >= F.col("least") - (1 - SIMILARITY) - _SLACK))
-        fresh = written(_dealt_again(needed.select("bucket", "key", "order", "component", "rest", "first")), f"{name}-dealt")
+        fresh = written(_dealt_again(needed.select("bucket", "key", "order", "component", "gone", "rest", "shared")), f"{name}-dealt")
         for old in (dealt, placed, told, apart):
             dropped(old)
         dealt, small = fresh, SMALL
