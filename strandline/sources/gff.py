@@ -33,14 +33,16 @@ def read_gff3(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def from_gff3(spark: SparkSession, path: str) -> GeneModel:
+def from_gff3(spark: SparkSession, path: str, strict: bool = False) -> GeneModel:
     """A gene model from a GFF3 file.
 
     Transcript ids follow (chromosome, strand, start, end, name); names come from
     Name, else ID. Exons without a transcript parent are dropped; a transcript
     without exons gets its CDS parts, or itself, as exons. Ranks follow the
     position, from the right on the minus strand. A CDS part belongs to the exon
-    of its transcript that holds it.
+    of its transcript that holds it. One that no exon holds is left out, and an
+    exon that holds several has a splicing row for each; with ``strict`` both are
+    errors.
     """
     rows = read_gff3(spark, path)
     place = [F.col("seqid").alias("chrom"), "strand", "start", "end"]
@@ -63,6 +65,11 @@ def from_gff3(spark: SparkSession, path: str) -> GeneModel:
     c = cds.join(cds_table.select(*keys, F.col("id").alias("_cds_id")), keys).alias("c")
     held = (F.col("x._tx_id") == F.col("c._tx_id")) & (F.col("c.start") >= F.col("x.start")) & (F.col("c.end") <= F.col("x.end"))
     splicing = x.join(c, held, "left").select("x._tx_id", "x.exon_rank", "x._exon_id", "c._cds_id", F.col("c.phase").alias("cds_phase"))
+    if strict:
+        if not c.join(x, held, "left_anti").isEmpty():
+            raise ValueError("some CDS parts lie in no exon of their transcript")
+        if not splicing.groupBy("_tx_id", "exon_rank").count().where("count > 1").isEmpty():
+            raise ValueError("some exons hold several CDS parts of a transcript")
     genes = rows.where(F.col("type").isin(*GENE_TYPES)).select(F.col("feature").alias("gene"), F.coalesce("Name", "feature").alias("gene_id"))
     gene = tx.select("_tx_id", F.explode("Parent").alias("gene")).join(genes, "gene").select("gene_id", "_tx_id").distinct()
     feature = lambda df, p: df.select(F.col("id").alias(f"_{p}_id"), f"{p}_name", F.col("chrom").alias(f"{p}_chrom"), F.col("strand").alias(f"{p}_strand"), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"))

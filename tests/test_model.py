@@ -234,6 +234,19 @@ def test_gff_escapes(spark, toy, tmp_path):
     assert {r["tx_chrom"] for r in back["transcript"].collect()} == {"x", "y y"} and back["splicing"].count() == 3
 
 
+@pytest.mark.parametrize(("cds", "message"), [([(5, 9), (12, 18)], "several CDS"), ([(5, 9), (25, 35)], "in no exon"), ([(5, 20), (30, 33)], None)])
+def test_gff_strict(spark, tmp_path, cds, message):
+    line = lambda kind, a, b, more: f"x\t.\t{kind}\t{a}\t{b}\t.\t+\t.\t{more}\n"
+    text = line("mRNA", 1, 40, "ID=t") + "".join(line("exon", a, b, "Parent=t") for a, b in ((1, 20), (30, 40))) + "".join(line("CDS", a, b, "Parent=t") for a, b in cds)
+    (tmp_path / "m.gff3").write_text("##gff-version 3\n" + text)
+    assert from_gff3(spark, f"{tmp_path}/m.gff3")["splicing"].count() >= 2
+    if message is None:
+        assert from_gff3(spark, f"{tmp_path}/m.gff3", strict=True)["cds"].count() == 2
+        return
+    with pytest.raises(ValueError, match=message):
+        from_gff3(spark, f"{tmp_path}/m.gff3", strict=True)
+
+
 # -- streams ----------------------------------------------------------------------------------
 def test_stream_resumes(spark, sf_dir, stored, tmp_path):
     """A stream that fails in the middle and goes on gives the table of one that
