@@ -22,6 +22,14 @@ What is dealt again is kept small without loss:
 * Buckets with the same members, which left the same elements behind, are one.
 * Jaccard distance is a metric. A member of the head's component can be similar
   only to others whose distance from the head is at most 0.2 more than its own.
+* The smallest member has the most edits, so it is the least typical and links few.
+  Every bucket has a hub as well: the member that meets the most others over all
+  its buckets. It only finds links, and those of a group's centre are most of them.
+* What a member has in common with other components bounds its overlap with any
+  of their members. Where that is too little for the bucket's least size it goes,
+  by one count over the open members' elements, not one for each bucket.
+* Where FEW members or fewer are outside the hub's component, each of them is
+  compared with all members, and the bucket is done.
 """
 
 from __future__ import annotations
@@ -36,6 +44,8 @@ SIMILARITY = 0.8
 _SLACK = 1e-9
 #: Buckets of so many members are settled pair by pair; larger ones have a head.
 SMALL = 64
+#: So many members outside a bucket's main component are compared with all of it.
+FEW = 16
 
 
 def _overlap(a: str, b: str) -> Column:
@@ -61,7 +71,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _dealt_again(rows: DataFrame) -> DataFrame:
-    """New buckets, one for each bucket and element, from bucket, key, order,
+    """New buckets, one for each bucket and element, from bucket, key, order, fame,
     component, gone, rest and shared.
 
     Elements are ordered by how many members of the bucket have them, rarest
@@ -75,8 +85,35 @@ def _dealt_again(rows: DataFrame) -> DataFrame:
     common = common.where("low <> high").select("bucket", "element", "n")
     kept = each.join(common.hint("merge"), ["bucket", "element"]).groupBy("bucket", "key").agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("kept"))
     both = rows.join(kept, ["bucket", "key"]).withColumn("first", F.size("kept") - F.col("shared") + 1).where("first > 0")
-    chosen = both.select("bucket", "key", "order", "component", "gone", F.col("kept.element").alias("all"), F.posexplode(F.slice("kept", F.lit(1), F.col("first"))).alias("at", "x"))
-    return chosen.select(F.xxhash64("bucket", "x.element").alias("bucket"), "key", "order", "component", F.concat("gone", F.slice("all", F.lit(1), F.col("at"))).alias("gone"))
+    chosen = both.select("bucket", "key", "order", "fame", "component", "gone", F.col("kept.element").alias("all"), F.posexplode(F.slice("kept", F.lit(1), F.col("first"))).alias("at", "x"))
+    return chosen.select(F.xxhash64("bucket", "x.element").alias("bucket"), "key", "order", "fame", "component", F.concat("gone", F.slice("all", F.lit(1), F.col("at"))).alias("gone"))
+
+
+def _open(now: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """Rows of ``now`` (bucket, key, order, component) that may still be similar to
+    a member of another component in their bucket. What goes takes its elements
+    from the others, so it is told again while that drops a tenth of the rows."""
+    before = None
+    while True:
+        mixed = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("order").alias("least"))
+        mixed = mixed.where("low <> high").select("bucket", F.shiftright("least", 31).alias("least"))
+        after = written(now.join(mixed, "bucket"), f"{name}-mixed")
+        n = after.count()
+        if before is not None:
+            dropped(now)
+            if n > 0.9 * before:
+                return after
+        if not n:
+            return after
+        each = after.select("key", "component").distinct().join(sets, "key").select("key", "component", F.explode("set").alias("element"))
+        common = each.groupBy("element").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("element")
+        shares = written(each.join(common.hint("merge"), "element").groupBy("key").agg(F.count(F.lit(1)).alias("shares")), f"{name}-shares")
+        size = F.shiftright("order", 31)
+        needs = F.greatest(SIMILARITY * size, SIMILARITY / (1 + SIMILARITY) * (size + F.col("least"))) - _SLACK
+        now = written(after.join(shares, "key", "left").where(F.coalesce("shares", F.lit(0)) >= needs).drop("shares", "least"), f"{name}-open")
+        for old in (after, shares):
+            dropped(old)
+        before = n
 
 
 def similar_links(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -87,42 +124,63 @@ def similar_links(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """
     order = F.shiftleft(F.size("set").cast("long"), 31).bitwiseOR(F.xxhash64("key").bitwiseAND(F.lit((1 << 31) - 1)))
     sizes = sets.select("key", order.alias("order"))
-    dealt = written(members.join(sizes, "key").withColumns({"component": F.col("key"), "gone": F.array().cast("array<bigint>")}), f"{name}-dealt")
-    links, labels, seen, small = None, None, None, 2
+    crowds = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    fame = members.join(crowds, "bucket").groupBy("key").agg(F.sum("n").alias("fame"))
+    dealt = written(members.join(sizes.join(fame, "key"), "key").withColumns({"component": F.col("key"), "gone": F.array().cast("array<bigint>")}), f"{name}-dealt")
+    links, labels, seen, asked, small = None, None, None, None, 2
     while True:
         each = F.xxhash64("key", F.array_sort("gone"))
         heads = dealt.groupBy("bucket").agg(
-            F.min_by("key", "order").alias("head"), F.min("component").alias("low"), F.max("component").alias("high"),
+            F.min_by("key", "order").alias("head"), F.max_by("key", F.struct("fame", "key")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"),
             F.count(F.lit(1)).alias("n"), F.bit_xor(each).alias("x"), F.bit_xor(F.xxhash64(each)).alias("y"),
         )
-        heads = heads.where("low <> high").groupBy(F.xxhash64("n", "x", "y").alias("who")).agg(F.min("bucket").alias("bucket"), F.min("head").alias("head"), F.min("n").alias("n"))
+        heads = heads.where("low <> high").groupBy(F.xxhash64("n", "x", "y").alias("who")).agg(F.min("bucket").alias("bucket"), F.min("head").alias("head"), F.min("hub").alias("hub"), F.min("n").alias("n"))
         if seen is not None:
             heads = heads.join(seen, "who", "left_anti")
         heads = written(heads, f"{name}-heads")
         seen = heads.select("who") if seen is None else seen.union(heads.select("who"))
         placed = written(dealt.join(heads.drop("who"), "bucket"), f"{name}-placed")
-        if placed.isEmpty():
+        if placed.isEmpty() and (asked is None or asked.isEmpty()):
             break
         large = placed.where(F.col("n") > small)
         few = placed.where(F.col("n") <= small).select("bucket", "key", "component")
         one, two = few.withColumnsRenamed({"key": "head", "component": "of head"}), few
         pairs = one.join(two, "bucket").where((F.col("head") < F.col("key")) & (F.col("of head") != F.col("component"))).select("head", "key")
         pairs = large.where("key <> head").select("head", "key", F.lit(True).alias("deal")).union(pairs.withColumn("deal", F.lit(False)))
+        pairs = pairs.union(large.where("key <> hub").select("hub", "key", F.lit(False)))
+        if asked is not None:
+            pairs = pairs.union(asked.withColumn("deal", F.lit(False)))
         pairs = pairs.groupBy("head", "key").agg(F.max("deal").alias("deal"))
         told = written(_compared(pairs, sets), f"{name}-told")
         found = told.where("linked").select(F.col("head").alias("a"), F.col("key").alias("b"))
         links = written(found if links is None else links.union(found), f"{name}-links")
         labels = written(components(links, "a", "b", f"{name}-components"), f"{name}-labels")
-        now = large.select("bucket", "key", "head", "order", "gone").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        if asked is not None:
+            dropped(asked)
+        if placed.isEmpty():
+            break
+        now = large.select("bucket", "key", "head", "hub", "order", "fame", "gone").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        now = written(now, f"{name}-now")
         of_head = now.where("key = head").select("bucket", F.col("component").alias("head component"))
-        apart = now.join(of_head, "bucket").where("key <> head").join(told, ["head", "key"])
-        apart = apart.withColumn("rest", F.array_except("rest", "gone"))
-        apart = written(apart.select("bucket", "key", "order", "component", "gone", "head component", "far", "rest", "shared"), f"{name}-apart")
+        of_hub = now.where("key = hub").select("bucket", F.col("component").alias("hub component"))
+        left = _open(now, sets, name)
+        still = left.drop("least").join(of_head, "bucket").join(of_hub, "bucket").where("key <> head AND key <> hub")
+        apart = still.join(told.drop("linked"), ["head", "key"]).withColumn("rest", F.array_except("rest", "gone"))
+        told_apart = written(apart.drop("head", "hub"), f"{name}-apart")
+        outside = F.count_if(F.col("component") != F.col("hub component"))
+        counts = written(told_apart.groupBy("bucket").agg(outside.alias("outside")).where("outside > 0"), f"{name}-outside")
+        apart = told_apart.join(counts, "bucket")
+        few = apart.where(F.col("outside") <= FEW).select("bucket", "key", "component", "hub component", "far", F.shiftright("order", 31).alias("size"))
+        one = few.where(F.col("component") != F.col("hub component")).select("bucket", F.col("key").alias("head"), F.col("component").alias("of head"), F.col("far").alias("from"), F.col("size").alias("long"))
+        close = (F.abs(F.col("far") - F.col("from")) <= 1 - SIMILARITY + _SLACK) & (F.least("size", "long") >= SIMILARITY * F.greatest("size", "long") - _SLACK)
+        both = one.join(few, "bucket").where((F.col("of head") != F.col("component")) & close)
+        asked = written(both.select(F.least("head", "key").alias("head"), F.greatest("head", "key").alias("key")).distinct(), f"{name}-asked")
+        apart = apart.where(F.col("outside") > FEW)
         other = F.col("component") != F.col("head component")
         near = apart.groupBy("bucket").agg(F.min(F.when(other, F.col("far"))).alias("least")).where("least IS NOT NULL")
         needed = apart.join(near, "bucket").where(other | (F.col("far") >= F.col("least") - (1 - SIMILARITY) - _SLACK))
-        fresh = written(_dealt_again(needed.select("bucket", "key", "order", "component", "gone", "rest", "shared")), f"{name}-dealt")
-        for old in (dealt, placed, told, apart):
+        fresh = written(_dealt_again(needed.select("bucket", "key", "order", "fame", "component", "gone", "rest", "shared")), f"{name}-dealt")
+        for old in (dealt, placed, told, now, left, told_apart, counts):
             dropped(old)
         dealt, small = fresh, SMALL
     if labels is None:
