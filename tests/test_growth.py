@@ -1,7 +1,10 @@
-"""What must not grow faster than the input: broadcasts."""
+"""What must not grow faster than the input: broadcasts, exchanges and buckets."""
 
+from pyspark.sql import functions as F
+
+from strandline.functions.ranges import dense_ids
 from strandline.operators import grouped, sequences
-from strandline.sources import star
+from strandline.sources import star, store
 
 
 def plan(df):
@@ -14,3 +17,32 @@ def test_a_genome_is_never_broadcast(spark, sf_dir):
     exons = grouped.exons_by(model, "tx")
     text = plan(sequences.range_sequences(exons, star.genome(model), star.CHUNK))
     assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
+def test_ids_are_never_broadcast(spark, sf_dir):
+    """Packed files of ids are small, their rows in memory are not."""
+    rows = star._rows(spark, sf_dir)
+    text = plan(star._bundle(rows, star._exon(rows), star._cds(rows)).select("_tx_id", "_exon_id", "_cds_id"))
+    joins = [line for line in text.splitlines() if "Join" in line and "start" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_dense_ids_deal_their_rows_once(spark):
+    df = spark.range(1000).select(F.concat(F.lit("c"), F.col("id") % 3).alias("c"), (F.col("id") * 7919 % 5000).alias("p"))
+    ids = dense_ids(df, ["c", "p"], ["c"], "p", block=100)
+    text = plan(ids)
+    assert text.count("Exchange hashpartitioning(c") - text.count("ReusedExchange") <= 2 and "REPARTITION_BY_COL" in text
+    got = sorted((r["c"], r["p"], r["id"]) for r in ids.collect())
+    want = sorted({(r["c"], r["p"]) for r in df.collect()})
+    assert got == [(c, p, i) for i, (c, p) in enumerate(want, 1)]
+
+
+def test_buckets_follow_rows(spark, sf_dir):
+    cores = spark.sparkContext.defaultParallelism
+    assert store.buckets_for(spark, 0) == cores
+    assert store.buckets_for(spark, 1000 * store.BUCKET_ROWS) == 1000
+
+
+def test_exons_are_dealt_to_their_buckets_once(spark, sf_dir):
+    text = plan(star._rows(spark, sf_dir, 7))
+    assert "hashpartitioning(_tx_id" in text and "ENSURE_REQUIREMENTS" not in text
