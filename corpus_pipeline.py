@@ -14,7 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard of 0.8 or more) stays."""
+    """One document of each group of near copies (candidates by op 1's SimHash and by
+    MinHash, five-word Jaccard of 0.8 or more) stays."""
     return nearcopies.deduplicated(docs)
 
 

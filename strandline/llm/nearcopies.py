@@ -1,10 +1,12 @@
-"""Near copies by their five-word shingles: MinHash bands, exact verification.
+"""Near copies by SimHash and MinHash bands, verified by their five-word shingles.
 
 Two texts are near copies if the Jaccard similarity of their five-word shingles
-is SIMILARITY or more. SimHash cannot stand in for that: at 0.8 the fingerprints
-differ in about ten of 64 bits, out of reach of deletion variants. Texts with
-the same words are one class; classes that share a band are verified by exact
-Jaccard of their shingle sets as the lines of op 7 are, and components join them.
+is SIMILARITY or more. Texts with the same words are one class. Classes whose
+fingerprints the SimHash operator of op 1 links are candidates. At 0.8 most
+fingerprints differ in more bits than its deletion variants reach (about ten of
+64), so classes that share a MinHash band are candidates too. All are verified by
+exact Jaccard of their shingle sets as the lines of op 7 are, and components
+join them.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import written
+from strandline.llm.common import dropped, written
 from strandline.llm.links import similar_links
+from strandline.llm.simhash import fingerprint_components, simhash_of
 from strandline.llm.shingles import Words
 from strandline.llm.substrings import bands, shingles_of
 
@@ -49,26 +52,38 @@ def _mapped(rows: DataFrame, keep: list[str], fields: list[T.StructField], types
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, ``text_hash``, h1, h2 (of the words) and ``bands`` of every row."""
+    """doc_id, ``text_hash``, h1, h2 (of the words), ``bands`` and ``fp`` (the
+    SimHash fingerprint of op 1) of every row."""
 
     def of(words: Words):
-        return *content(words), bands(shingles_of(words), BANDS, BAND_ROWS).tolist()
+        fp = np.uint64(simhash_of(b" ".join(words.data.split()))).view(np.int64)
+        return *content(words), bands(shingles_of(words), BANDS, BAND_ROWS).tolist(), int(fp)
 
     long = T.LongType()
-    fields = [T.StructField("h1", long), T.StructField("h2", long), T.StructField("bands", T.ArrayType(long))]
+    fields = [T.StructField("h1", long), T.StructField("h2", long), T.StructField("bands", T.ArrayType(long)), T.StructField("fp", long)]
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return _mapped(rows, ["doc_id", "text_hash"], fields, [pa.int64(), pa.int64(), pa.list_(pa.int64())], of)
+    return _mapped(rows, ["doc_id", "text_hash"], fields, [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()], of)
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """bucket and key of the classes (key, bands, fp) that share a band, or whose
+    fingerprints are in one component of SimHash links."""
+    groups = fingerprint_components(written(classes.select("fp").distinct(), "copies-prints"))
+    groups = groups.select("fp", F.xxhash64(F.lit("simhash"), "component").alias("bucket"))
+    dealt = written(classes.select("key", F.explode("bands").alias("bucket")).union(classes.join(groups, "fp").select("key", "bucket")), "copies-dealt")
+    full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = written(dealt.join(full, "bucket"), "copies-members")
+    dropped(dealt)
+    return members
 
 
 def labelled(docs: DataFrame) -> DataFrame:
     """doc_id, ``text_hash`` and ``component`` (long) of every row."""
     rows = written(signed(docs), "copies-signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
-    classes = rows.groupBy("h1", "h2").agg(first, F.first("bands").alias("bands"))
+    classes = rows.groupBy("h1", "h2").agg(first, F.first("bands").alias("bands"), F.first("fp").alias("fp"))
     classes = written(classes.withColumn("key", F.monotonically_increasing_id()), "copies-classes")
-    dealt = classes.select("key", F.explode("bands").alias("bucket"))
-    full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = written(dealt.join(full, "bucket"), "copies-members")
+    members = candidates(classes)
     here = classes.select("key", "first").join(members.select("key").distinct(), "key", "left_semi")
     d = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("d"), "text")
     near = here.join(d, F.col("first.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("first.text_hash") == F.col("d.text_hash"))).select("key", "text")

@@ -38,7 +38,11 @@ def simhash(text: str | None, k: int = SHINGLE_WORDS) -> int:
 
     Fewer than k words are one shingle; no words at all give 0.
     """
-    data = normal_words(text)
+    return simhash_of(normal_words(text), k)
+
+
+def simhash_of(data: bytes, k: int = SHINGLE_WORDS) -> int:
+    """The same from ``normal_words`` of a text."""
     if not data:
         return 0
     spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
@@ -116,6 +120,13 @@ def links(fps: DataFrame, bucket: int = 256) -> DataFrame:
     return pairs.union(joined).distinct()
 
 
+def fingerprint_components(distinct: DataFrame) -> DataFrame:
+    """The rows of ``distinct`` (one a fingerprint, ``fp``) with ``component``, the
+    least fingerprint reachable over links; its own where there is none."""
+    linked = components(links(distinct.select("fp")), "a", "b", "simhash-links")
+    return distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``fp`` (signed long), ``fingerprint``
     (16 hex digits) and ``component_id``, the least doc_id reachable over links.
@@ -127,8 +138,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """
     prints = written(fingerprints(docs, k), "simhash-prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    linked = components(links(distinct.select("fp")), "a", "b", "simhash-links")
-    member = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    member = fingerprint_components(distinct)
     root = member.groupBy("component").agg(F.min("least").alias("component_id"))
     # a written table, so that a fingerprint of many copies can be split over tasks
     label = written(member.join(root, "component").select("fp", "component_id"), "simhash-labels")

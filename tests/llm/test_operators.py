@@ -146,6 +146,17 @@ def test_near_copies(spark, docs, empty):
     assert corpus_pipeline.near_dedup(spark, empty, "").collect() == []
 
 
+def test_near_copies_are_candidates_by_simhash(spark):
+    """What the SimHash operator links meets without a common band, and the exact check decides."""
+    from strandline.llm import links, nearcopies
+
+    rows = [(0, [1, 2], 0b1010), (1, [3, 4], 0b1001), (2, [5, 6], 0b1001), (3, [7, 8], -1), (4, [9, 10], 0b1010 << 40)]
+    members = nearcopies.candidates(spark.createDataFrame(rows, "key long, bands array<long>, fp long"))
+    assert sorted(r["key"] for r in members.collect()) == [0, 1, 2] and members.select("bucket").distinct().count() == 1
+    sets = spark.createDataFrame([(0, list(range(10))), (1, list(range(9))), (2, list(range(20, 30)))], "key long, set array<long>")
+    assert {r["key"]: r["component"] for r in links.similar_links(members, sets, "test").collect()} == {0: 0, 1: 0}
+
+
 BASE_PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
