@@ -95,7 +95,8 @@ def pmap_to_transcripts(x: DataFrame, exons: DataFrame, ignore_strand: bool = Fa
 def _from_tx(ranges: DataFrame, ordered: DataFrame, keys: list[str], ignore_strand: bool) -> DataFrame:
     """Both ends of transcript ranges located in exons: one genomic range each."""
     r, o = ranges.alias("r"), ordered.alias("o")
-    cond = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    # a place is never null, and only a plain equality keeps rows in the buckets they lie in
+    cond = [F.col(f"r.{k}") == F.col(f"o.{k}") if k == "i" else F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
     hit = lambda t: (t > F.col("o.off")) & (t <= F.col("o.off") + F.col("o.w"))
     rows = r.join(o, cond)
     if not ignore_strand:

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from strandline.functions.ranges import dense_ids
-from strandline.operators import grouped, sequences
+from strandline.operators import coords, grouped, sequences
+from strandline.plans import catalog
 from strandline.sources import star, store
 
 
@@ -46,3 +47,16 @@ def test_buckets_follow_rows(spark, sf_dir):
 def test_exons_are_dealt_to_their_buckets_once(spark, sf_dir):
     text = plan(star._rows(spark, sf_dir, 7))
     assert "hashpartitioning(_tx_id" in text and "ENSURE_REQUIREMENTS" not in text
+
+
+def test_paired_ranges_stay_in_their_buckets(spark, sf_dir):
+    """Places are transcripts there, so mapping back needs no exchange at any size."""
+    model = star.stored_model(spark, sf_dir).unordered()
+    exons = grouped.exons_by(model, "tx").withColumn("i", F.col("group_id"))
+    found = coords.pmap_from_transcripts(catalog._tx_ranges(model), exons)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "Exchange" not in plan(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
