@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import written
+from strandline.llm.common import dropped, written
 from strandline.llm.links import similar_links
 from strandline.llm.shingles import Words, mixed
 
@@ -264,20 +264,27 @@ def _merged(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(apply, schema)
 
 
-def _windows(units: DataFrame) -> DataFrame:
+def _once(rows: DataFrame, twins: bool) -> DataFrame:
+    """Rows that agree in doc_id and text are one document; without any such
+    ``twins`` nothing needs to be compared."""
+    return rows.distinct() if twins else rows
+
+
+def _windows(units: DataFrame, twins: bool) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     """doc_id, text_hash, place, hash, ``n``, ``goes``, ``bridge n`` and ``bridge
     goes`` of every taken window that stands twice; the last two are null where
-    its bridge does not."""
+    its bridge does not. And the tables that are read for it."""
     each = units.select(*_WHERE, F.explode(F.arrays_zip("places", "hashes", "bridges")).alias("x"))
     flat = each.select(*_WHERE, F.col("x.places").alias("place"), F.col("x.hashes").alias("hash"), F.col("x.bridges").alias("bridge"))
     twice = flat.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    # rows that agree in doc_id and text are one document, hence distinct and a second count
-    hits = written(flat.join(twice.hint("merge"), "hash").distinct(), "para-hits")
+    # twins are no second place
+    hits = written(_once(flat.join(twice.hint("merge"), "hash"), twins), "para-hits")
     own = written(_repeating(hits, ["hash"]), "para-own")
+    dropped(hits)
     bridges = _repeating(own.where("bridge <> 0").select(*_WHERE, "place", "bridge"), ["bridge"])
     bridges = written(bridges.select(F.col("doc_id").alias("b id"), F.col("text_hash").alias("b hash"), F.col("place").alias("b place"), F.col("n").alias("bridge n"), F.col("goes").alias("bridge goes")), "para-bridges")
     same = F.col("doc_id").eqNullSafe(F.col("b id")) & (F.col("text_hash") == F.col("b hash")) & (F.col("place") == F.col("b place"))
-    return own.join(bridges, same, "left").select(*_WHERE, "place", "hash", "n", "goes", "bridge n", "bridge goes")
+    return own.join(bridges, same, "left").select(*_WHERE, "place", "hash", "n", "goes", "bridge n", "bridge goes"), (own, bridges)
 
 
 def _line_classes(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -309,8 +316,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     their size; other columns are ignored; an empty table gives an empty result.
     """
     units = written(paragraphs(docs), "para-units")
-    windows = _windows(units)
+    twins = not units.groupBy(*_WHERE).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    windows, read = _windows(units, twins)
     lines, classes, members = _line_classes(units)
+    dropped(units)
 
     # all that one pass over the texts has to look at, by document
     asked = classes.join(members.select("key").distinct(), "key", "left_semi")
@@ -320,6 +329,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     rows = windows.select(*_WHERE, anchor.alias("anchor")).withColumn("line", none.cast(asked.schema["line"].dataType))
     rows = rows.union(asked.select(*_WHERE, none.cast(rows.schema["anchor"].dataType).alias("anchor"), "line"))
     by_doc = written(rows.groupBy(*_WHERE).agg(F.array_sort(F.collect_list("anchor")).alias("anchors"), F.collect_list("line").alias("lines")), "para-docs")
+    for old in read:
+        dropped(old)
     # an end is closed where the bridge repeats at all places of the window; where
     # only some have it, the first of those stands for them beside the others
     closed = lambda bridge, x: F.coalesce((bridge["bridge n"] == x["n"]) | bridge["bridge goes"], F.lit(False))
@@ -331,9 +342,11 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     sets = written(near.where("key IS NOT NULL").select("key", "set").dropDuplicates(["key"]), "para-sets")
     label = similar_links(members, sets, "para")
+    for old in (members, sets):
+        dropped(old)
     known = classes.select("h1", "h2", "key").join(label, "key", "left").select("h1", "h2", F.coalesce("component", "key").alias("component"))
     lines = written(lines.join(known, ["h1", "h2"]), "para-known")
-    grown = near.where("key IS NULL").select(*_WHERE, "place", "h1", "h2").distinct()
+    grown = _once(near.where("key IS NULL").select(*_WHERE, "place", "h1", "h2"), twins)
 
     place = lambda start, end: start.bitwiseAND(F.lit(-1 << 32)).bitwiseOR(end.bitwiseAND(F.lit(0xFFFFFFFF)))
     bridge = F.transform("anchors", lambda x, i: F.struct(place(x["place"], F.get("anchors", i + 1)["place"]).alias("place"), x["bridge goes"].alias("goes"), x["hash"]))

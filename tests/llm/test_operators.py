@@ -436,6 +436,29 @@ def test_links_of_large_buckets(spark):
     assert all(len(g) == 1 for g in groups.values())
 
 
+def test_links_in_two_rounds(spark, monkeypatch):
+    """Buckets far beyond a chunk or block: all pairs of chunks and blocks are met,
+    in two rounds whatever the bucket, with sets of one and of no element too."""
+    rounds = []
+    monkeypatch.setattr(links, "MOST", 8)
+    monkeypatch.setattr(links, "components", lambda *a, real=links.components: rounds.append(1) or real(*a))
+    rng = np.random.default_rng(8)
+    sets = [[], [], [1], [1], [2]]
+    for base in rng.integers(0, 10**9, (6, 40)):
+        for _ in range(20):
+            s = set(base.tolist())
+            for x in rng.choice(base, rng.integers(0, 12), replace=False).tolist():
+                s ^= {x, x + 10**10 + int(rng.integers(0, 3))}
+            sets.append(sorted(s))
+    near = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b])) - 1e-9
+    root = roots(len(sets), [(a, b) for b in range(len(sets)) for a in range(b) if near(a, b)])
+    members = spark.createDataFrame([(n % 2, k) for n in (0, 1, 2) for k in range(len(sets))], "bucket long, key long").distinct()
+    got = {r["key"]: r["component"] for r in links.similar_links(members, spark.createDataFrame(list(enumerate(sets)), "key long, set array<long>"), "test").collect()}
+    label = [got.get(n, n) for n in range(len(sets))]
+    assert len(set(zip(label, root, strict=True))) == len(set(label)) == len(set(root))
+    assert len(rounds) == 2
+
+
 def test_passages_to_their_ends(spark):
     """Spans cover what two documents share in a passage of 50 words or more, to its ends."""
     rng = np.random.default_rng(11)
