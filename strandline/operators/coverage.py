@@ -68,13 +68,15 @@ def _runs_in_transcripts(runs: DataFrame, exons: DataFrame, on: tuple[str, ...])
 
 
 def _filled(pieces: DataFrame, exons: DataFrame) -> DataFrame:
-    """Uncovered stretches get depth 0 and equal neighbours become one run."""
+    """Uncovered stretches get depth 0 and equal neighbours become one run. The
+    pieces are read once and dealt to transcripts once."""
     totals = exons.groupBy("group_id").agg(F.sum(F.col("end") - F.col("start") + 1).alias("total"))
-    stop = totals.select("group_id", (F.col("total") + 1).alias("start"), F.col("total").alias("end"), F.lit(0).cast("long").alias("depth"))
+    stop = totals.select("group_id", (F.col("total") + 1).alias("start"), F.col("total").alias("end"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("stop"))
     order = Window.partitionBy("group_id").orderBy("start", "end")
-    rows = pieces.union(stop).withColumn("before", F.coalesce(F.lag("end").over(order), F.lit(0)) + 1)
-    zero = rows.where("start > before").select("group_id", F.col("before").alias("start"), (F.col("start") - 1).alias("end"), F.lit(0).cast("long").alias("depth"))
-    every = pieces.union(zero)
+    rows = pieces.select("group_id", "start", "end", "depth", F.lit(False).alias("stop")).union(stop).withColumn("before", F.coalesce(F.lag("end").over(order), F.lit(0)) + 1)
+    zero = F.struct(F.col("before").alias("start"), (F.col("start") - 1).alias("end"), F.lit(0).cast("long").alias("depth"))
+    both = F.array_compact(F.array(F.when(F.col("start") > F.col("before"), zero), F.when(~F.col("stop"), F.struct("start", "end", "depth"))))
+    every = rows.select("group_id", F.explode(both).alias("x")).select("group_id", "x.*")
     order = Window.partitionBy("group_id").orderBy("start")
     new = F.when(F.lag("depth").over(order) == F.col("depth"), 0).otherwise(1)
     run = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))

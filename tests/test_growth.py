@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandline.functions.ranges import dense_ids
-from strandline.operators import coords, grouped, sequences
+from strandline.operators import coords, coverage, grouped, sequences
 from strandline.plans import catalog
 from strandline.sources import star, store
 
@@ -60,3 +60,12 @@ def test_paired_ranges_stay_in_their_buckets(spark, sf_dir):
         assert "Exchange" not in plan(found)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_coverage_reads_its_pieces_once(spark):
+    """Gaps are filled in the same pass, so the overlap join is not run twice."""
+    pieces = spark.range(3).select(F.lit(1).alias("group_id"), (F.col("id") * 10 + 3).alias("start"), (F.col("id") * 10 + 5).alias("end"), (F.col("id") + 1).alias("depth"))
+    exons = spark.range(1).select(F.lit(1).alias("group_id"), F.lit(1).cast("long").alias("start"), F.lit(30).cast("long").alias("end"))
+    filled = coverage._filled(pieces, exons)
+    assert sorted(map(tuple, filled.collect())) == [(1, 1, 2, 0), (1, 3, 5, 1), (1, 6, 12, 0), (1, 13, 15, 2), (1, 16, 22, 0), (1, 23, 25, 3), (1, 26, 30, 0)]
+    assert filled._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
