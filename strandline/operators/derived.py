@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.model import GeneModel
 from strandline.operators.grouped import annotated_splicing, exons_by, introns_by_transcript
-from strandline.operators.intervals import disjoin
+from strandline.operators.intervals import covered_segments
 
 
 def scalar_genes(model: GeneModel, multiple: str = "raise") -> DataFrame:
@@ -79,9 +79,10 @@ def tidy_introns(model: GeneModel, drop_geneless: bool = False, multiple: str =
 
 def _parts(rows: DataFrame, lists: list[str], single_gene: bool, number: str) -> DataFrame:
     """Disjoint parts of ``rows`` with the distinct values of ``lists``."""
-    pairs = disjoin(rows)
-    agg = [F.array_sort(F.collect_set(f"r.{c}")).alias(c) for c in lists]
-    parts = pairs.groupBy(F.col("l.seqnames").alias("seqnames"), F.col("l.start").alias("start"), F.col("l.end").alias("end"), F.col("l.strand").alias("strand")).agg(*agg)
+    pairs = covered_segments(rows)
+    # by bin as well, though a segment has one: its rows lie together by that
+    own = ["seqnames", F.col("seg start").alias("start"), F.col("seg end").alias("end"), "strand"]
+    parts = pairs.groupBy(*own, "seg bin").agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in lists]).drop("seg bin")
     if not single_gene:
         return parts
     parts = parts.where(F.size("gene_id") == 1).withColumn("gene_id", F.get("gene_id", 0))

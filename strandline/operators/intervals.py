@@ -158,11 +158,42 @@ def disjoint_segments(df: DataFrame, by: tuple[str, ...] = ("seqnames", "strand"
     return rows.where("stop IS NOT NULL").select(*by, F.col("pos").alias("start"), F.col("stop").alias("end"))
 
 
+def covered_segments(df: DataFrame, bin_width: int = BIN) -> DataFrame:
+    """Every range once for each segment of the disjoint union that it covers: the
+    columns of ``df`` with ``seg bin``, ``seg start`` and ``seg end``. Ranges of
+    different strands never meet.
+
+    A range goes to the bins it touches, and so do all that cut it there: the
+    cuts of a bin are collected where its ranges lie, and a range takes those
+    between its borders. Ranges are dealt once; grouping by seqnames, strand and
+    ``seg bin`` needs no further exchange. The next cut behind a bin comes from a
+    table of one row a bin. Bins without cuts make no rows.
+    """
+    key = ["seqnames", "strand", "seg bin"]
+    df = df.where(" AND ".join(f"{c} IS NOT NULL" for c in CORE))
+    at = lambda c: div(c, bin_width)
+    stop = F.col("end") + 1
+    cuts = df.select(*key[:2], F.explode(F.array("start", stop)).alias("pos"))
+    heads = cuts.groupBy(*key[:2], at(F.col("pos")).alias(key[2])).agg(F.min("pos").alias("head"))
+    heads = heads.select(*key, F.lead("head").over(Window.partitionBy(*key[:2]).orderBy(key[2])).alias("seg after"))
+    own = Window.partitionBy(*key)
+    here = lambda c: F.when(at(c) == F.col(key[2]), c)
+    borders = [F.collect_set(here(c)).over(own) for c in (F.col("start"), stop)]
+    rows = df.withColumn(key[2], F.explode(F.sequence(at(F.col("start")), at(stop))))
+    rows = rows.withColumn("seg cuts", F.sort_array(F.array_union(*borders))).where("end >= start").join(heads, key)
+    nth = lambda c, otherwise: F.coalesce(F.array_position("seg cuts", here(c)).cast("int"), otherwise)
+    rows = rows.withColumns({"seg i": nth(F.col("start"), F.lit(1)), "seg j": nth(stop, F.size("seg cuts") + 1)})
+    n = F.col("seg j") - F.col("seg i")
+    ends = F.concat(F.slice("seg cuts", F.col("seg i") + 1, n), F.when(F.col("seg j") > F.size("seg cuts"), F.array("seg after")).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("seg", F.explode(F.arrays_zip(F.slice("seg cuts", F.col("seg i"), n).alias("s"), ends.alias("e"))))
+    return rows.select(*df.columns, key[2], F.col("seg.s").alias("seg start"), (F.col("seg.e") - 1).alias("seg end"))
+
+
 def disjoin(df: DataFrame, bin_width: int = BIN) -> DataFrame:
     """Struct pairs ``l`` (segment of the disjoint union) and ``r`` (a range that
     covers it); gaps vanish. Ranges of different strands never meet."""
-    segments = disjoint_segments(df)
-    return overlap_pairs(segments.select(*CORE), df, kind="within", bin_width=bin_width).where("l.strand = r.strand")
+    segment = F.struct("seqnames", F.col("seg start").alias("start"), F.col("seg end").alias("end"), "strand")
+    return covered_segments(df, bin_width).select(segment.alias("l"), F.struct(*df.columns).alias("r"))
 
 
 def coverage_runs(df: DataFrame, by: tuple[str, ...] = ("seqnames",), block: int = BLOCK) -> DataFrame:

@@ -36,7 +36,7 @@ def _query(twin: str | None = None, more: str = "", name: str | None = None):
 
 
 def _text(array: str | Column, missing: str = "NA") -> Column:
-    return F.array_join(F.transform(array, lambda x: F.coalesce(x.cast("string"), F.lit(missing))), ",")
+    return F.array_join((F.col(array) if isinstance(array, str) else array).cast("array<string>"), ",", missing)
 
 
 _TX = 'chrom AS seqnames, ts AS start, te AS "end", strand'

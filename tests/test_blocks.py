@@ -141,3 +141,17 @@ def test_pile_on_one_locus(spark):
     exon = spark.createDataFrame([(1, "1", 5_000_050, 5_000_150, "+"), (2, "1", 1, 90_000_000, "-")], RANGE)
     assert _rows_made(pile, "l", exon) == 40_000  # at the level of each exon once
     assert intervals.overlap_pairs(pile, exon).count() == 40_000
+
+
+@pytest.mark.parametrize("bin_width", [7, 64, intervals.BIN])
+def test_segments_a_range_covers(spark, ranges, bin_width):
+    """Every range with each segment it covers, over any number of bins; empty
+    ranges cut and cover nothing, ranges without a place do neither."""
+    rows, df = ranges
+    want = []
+    for _, group in groups(rows, 1, 4):
+        cuts = sorted({p for r in group for p in (r[2], r[3] + 1)})
+        want += [(i, a, b - 1) for i, _, s, e, _ in group for a, b in zip(cuts, cuts[1:], strict=False) if s <= a and b - 1 <= e]
+    odd = spark.createDataFrame([(900, None, 1, 9, "+"), (901, "1", None, 9, "+"), (902, "2", 3, 9, None)], RANGE)
+    got = intervals.covered_segments(df.union(odd), bin_width).select("i", "seg start", "seg end").collect()
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandline.functions.ranges import dense_ids
-from strandline.operators import coords, coverage, grouped, sequences
+from strandline.operators import coords, coverage, derived, grouped, sequences
 from strandline.plans import catalog
 from strandline.sources import star, store
 
@@ -69,3 +69,16 @@ def test_coverage_reads_its_pieces_once(spark):
     filled = coverage._filled(pieces, exons)
     assert sorted(map(tuple, filled.collect())) == [(1, 1, 2, 0), (1, 3, 5, 1), (1, 6, 12, 0), (1, 13, 15, 2), (1, 16, 22, 0), (1, 23, 25, 3), (1, 26, 30, 0)]
     assert filled._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
+def test_parts_are_dealt_once(spark, sf_dir):
+    """Ranges go to their bins in one exchange, which grouping by segment shares;
+    the others are of the next cuts, a row a bin."""
+    model = star.stored_model(spark, sf_dir).unordered()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        exchanges = [x for x in plan(derived.exonic_parts(model)).splitlines() if "Exchange" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(exchanges) <= 4 and not any("seg start" in x for x in exchanges)
