@@ -46,20 +46,21 @@ def terminator(start: Column, end: Column, strand: Column, upstream: int, downst
     return F.when(minus, start - downstream + 1).otherwise(end - upstream), F.when(minus, start + upstream).otherwise(end + downstream - 1)
 
 
-def dense_ids(df: DataFrame, keys: list[str], group: list[str], position: str, block: int = 1_000_000) -> DataFrame:
+def dense_ids(df: DataFrame, keys: list[str], group: list[str], position: str, block: int = 1_000_000, parts: int | None = None) -> DataFrame:
     """Distinct ``keys`` with ``id``: their dense rank by keys, which begin with
     ``group`` and ``position``.
 
     Ranks are counted inside blocks of positions and shifted by the blocks'
     totals, so only the block totals (a few rows a chromosome) meet in one task.
     Rows are dealt by block before they are made distinct: that one exchange
-    serves the distinct rows, their ranks and the totals. Rows without a group or
-    position have no id.
+    serves the distinct rows, their ranks and the totals. ``parts`` fixes its number
+    of tasks, which otherwise follows packed bytes: those of ids are a small part of
+    what a task sorts. Rows without a group or position have no id.
     """
     rows = df.select(*keys).withColumn("block", div(F.col(position), block))
     for c in (*group, "block"):
         rows = rows.where(F.col(c).isNotNull())
-    rows = rows.repartition(*group, "block").distinct()
+    rows = rows.repartition(*([parts] if parts else []), *group, "block").distinct()
     within = Window.partitionBy(*group, "block").orderBy(*keys)
     totals = rows.groupBy(*group, "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy(*group, "block").rowsBetween(Window.unboundedPreceding, -1)

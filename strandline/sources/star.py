@@ -63,14 +63,14 @@ def _none() -> Column:
     return F.lit(None).cast("string")
 
 
-def _exon(rows: DataFrame) -> DataFrame:
+def _exon(rows: DataFrame, parts: int | None = None) -> DataFrame:
     keys = ["chrom", "strand", "start", "end"]
-    ids = dense_ids(rows.select(*keys), keys, ["chrom", "strand"], "start")
+    ids = dense_ids(rows.select(*keys), keys, ["chrom", "strand"], "start", parts=parts)
     return ids.select(F.col("id").alias("_exon_id"), _none().alias("exon_name"), F.col("chrom").alias("exon_chrom"), F.col("strand").alias("exon_strand"), F.col("start").alias("exon_start"), F.col("end").alias("exon_end"))
 
 
-def _cds(rows: DataFrame) -> DataFrame:
-    ids = dense_ids(rows.where("cds_start IS NOT NULL").select(*_CDS), _CDS, ["chrom", "strand"], "cds_start")
+def _cds(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    ids = dense_ids(rows.where("cds_start IS NOT NULL").select(*_CDS), _CDS, ["chrom", "strand"], "cds_start", parts=parts)
     return ids.select(F.col("id").alias("_cds_id"), _none().alias("cds_name"), F.col("chrom").alias("cds_chrom"), F.col("strand").alias("cds_strand"), "cds_start", "cds_end")
 
 
@@ -133,8 +133,8 @@ def stored_model(spark: SparkSession, sf_dir: str) -> GeneModel:
         valid = lambda name, df: schema.validate(name, df)
         make = {
             "rows": lambda t: _rows(spark, sf_dir, n),
-            "exon": lambda t: valid("exon", _exon(t["rows"])),
-            "cds": lambda t: valid("cds", _cds(t["rows"])),
+            "exon": lambda t: valid("exon", _exon(t["rows"], n)),
+            "cds": lambda t: valid("cds", _cds(t["rows"], n)),
             "bundle": lambda t: _bundle(t["rows"], t["exon"], t["cds"]),
             "splicing": lambda t: t["bundle"].select(*schema.TABLES["splicing"].fieldNames()),
             "transcript": lambda t: valid("transcript", _transcript(_by_transcript(_orders(spark, sf_dir), n), t["rows"])),

@@ -82,3 +82,10 @@ def test_parts_are_dealt_once(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(exchanges) <= 4 and not any("seg start" in x for x in exchanges)
+
+
+def test_ids_are_dealt_by_rows(spark, sf_dir):
+    """Bytes of packed ids do not tell how many rows a task sorts."""
+    rows = star._rows(spark, sf_dir)
+    for ids in (star._exon(rows, 7), star._cds(rows, 7)):
+        assert any("block" in x and ", 7)" in x and "REPARTITION_BY_NUM" in x for x in plan(ids).splitlines() if "Exchange" in x)
