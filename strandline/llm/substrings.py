@@ -50,26 +50,32 @@ def winnowed(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
         return np.zeros(0, np.int64)
     if len(hashes) <= reach:
         return np.array([len(hashes) - 1 - int(np.argmin(hashes[::-1]))])
-    found = []
-    for at in range(0, len(hashes) - reach + 1, _SLAB):
-        part = hashes[at : at + _SLAB + reach - 1]
-        view = np.lib.stride_tricks.sliding_window_view(part[::-1], reach)
-        least = len(part) - 1 - (np.arange(len(view)) + view.argmin(axis=1))
-        found.append(np.unique(least) + at)
-    return np.unique(np.concatenate(found))
-
-
-def _hashed(shingles: np.ndarray, n: int) -> np.ndarray:
-    """``n`` unrelated hashes of every shingle, a row each."""
-    rows = shingles[:, None] * _MULTIPLY[:n] + _ADD[:n]
-    return rows ^ (rows >> np.uint64(29))
+    # least hash and its last place of windows of 1, 2, 4 ... places, then of two that overlap
+    least, place, size = hashes, np.arange(len(hashes)), 1
+    while size < reach:
+        step = min(size, reach - size)
+        later = least[step:] <= least[:-step]
+        least, place = np.where(later, least[step:], least[:-step]), np.where(later, place[step:], place[:-step])
+        size += step
+    return place[np.append(True, place[1:] != place[:-1])]
+
+
+def _hashed(shingles: np.ndarray, n: int, spare: int = 0) -> np.ndarray:
+    """``n`` unrelated hashes of the shingles, each in a row of its own, which ends
+    in ``spare`` zeros."""
+    rows = np.zeros((n, len(shingles) + spare), np.uint64)
+    own = rows[:, : len(shingles)]
+    np.multiply(shingles, _MULTIPLY[:n, None], out=own)
+    own += _ADD[:n, None]
+    own ^= own >> np.uint64(29)
+    return rows
 
 
 def _keys(least: np.ndarray, size: int = ROWS) -> np.ndarray:
     """The band keys of signatures, a row each; a band has ``size`` hashes."""
     n = least.shape[1] // size
     rows = mixed(least).reshape(-1, n, size)
-    keys = np.broadcast_to(np.arange(n, dtype=np.uint64), rows.shape[:2])
+    keys = np.arange(n, dtype=np.uint64)
     for r in range(size):
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
     return keys.view(np.int64)
@@ -79,7 +85,7 @@ def bands(shingles: np.ndarray, n: int = BANDS, size: int = ROWS) -> np.ndarray:
     """The ``n`` band keys, of ``size`` hashes each, of a set of shingle hashes."""
     least = np.full(n * size, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), _SLAB):
-        least = np.minimum(least, _hashed(shingles[at : at + _SLAB], n * size).min(axis=0))
+        least = np.minimum(least, _hashed(shingles[at : at + _SLAB], n * size).min(axis=1))
     return _keys(least[None], size)[0]
 
 
@@ -88,8 +94,9 @@ def bands_of_lines(shingles: np.ndarray, first: np.ndarray, end: np.ndarray) ->
     go; the lines of a very long text one by one."""
     if len(shingles) > 8 * _SLAB:
         return np.concatenate([bands(shingles[i:j]) for i, j in zip(first.tolist(), end.tolist(), strict=True)])
-    hashed = np.vstack([_hashed(shingles, BANDS * ROWS), np.zeros((1, BANDS * ROWS), np.uint64)])
-    return _keys(np.minimum.reduceat(hashed, np.column_stack([first, end]).ravel())[::2]).ravel()
+    edges = np.empty(2 * len(first), np.int64)
+    edges[::2], edges[1::2] = first, end
+    return _keys(np.minimum.reduceat(_hashed(shingles, BANDS * ROWS, 1), edges, axis=1)[:, ::2].T.copy()).ravel()
 
 
 def shingles_of(words: Words) -> np.ndarray:
@@ -108,8 +115,9 @@ def lines_of(words: Words, least: int = LEAST_WORDS) -> list[tuple[int, int]]:
     if 0 < len(words) < least:
         return [(0, len(words))]
     breaks = np.flatnonzero(np.frombuffer(words.data, np.uint8) == 10)
-    edges = np.unique(np.concatenate([[0], np.searchsorted(words.starts, breaks), [len(words)]]))
-    long = np.flatnonzero(np.diff(edges) >= least)
+    edges = np.concatenate([[0], np.searchsorted(words.starts, breaks), [len(words)]])
+    size = edges[1:] - edges[:-1]
+    long = np.flatnonzero(size >= least)
     return list(zip(edges[long].tolist(), edges[long + 1].tolist(), strict=True))
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strandline.llm import classifier, decontaminate, html, links, mixing, nearcopies, pii, quality, secret_scan, simhash, substrings, tokens
+from strandline.llm import classifier, decontaminate, html, links, mixing, nearcopies, pii, quality, secret_scan, shingles, simhash, substrings, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -713,3 +713,37 @@ def test_pipeline(spark, docs, empty, sf_dir, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()} == {r[0] for r in seen[-1]}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).collect() == [], name
+
+
+class _Counted(np.ndarray):
+    calls = 0
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **kwargs):
+        _Counted.calls += ufunc is np.multiply
+        plain = lambda x: x.view(np.ndarray) if isinstance(x, _Counted) else x
+        if "out" in kwargs:
+            kwargs["out"] = tuple(map(plain, kwargs["out"]))
+        return getattr(ufunc, method)(*map(plain, inputs), **kwargs).view(_Counted)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 25])
+def test_windows_are_doubled(k):
+    """A window of 25 words takes six products and two of the mixing, not 25; hashes as by Horner's rule."""
+    words = shingles.Words(" ".join(str(i % 7) for i in range(80)))
+    want = []
+    for i in range(len(words) - k + 1):
+        h = 0
+        for x in words.hashes[i : i + k].tolist():
+            h = (h * int(shingles._STEP[1]) + x) % 2**64
+        want.append(h)
+    want = shingles.mixed(np.array(want, np.uint64)).tolist()
+    words.hashes = words.hashes.view(_Counted)
+    _Counted.calls = 0
+    assert words.windows(k, 1).tolist() == want and _Counted.calls <= 8
+
+
+@pytest.mark.parametrize("n", [0, 1, 25, 26, 27, 300])
+def test_winnowing_takes_the_last_least_hash(n):
+    hashes = np.random.default_rng(n).integers(0, 9, n).astype(np.uint64)
+    want = {max(i for i in range(a, min(a + 26, n)) if hashes[i] == hashes[a : a + 26].min()) for a in range(max(1, n - 25)) if n}
+    assert substrings.winnowed(hashes).tolist() == sorted(want)
