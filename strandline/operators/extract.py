@@ -20,7 +20,9 @@ Filter = Mapping[str, Sequence]
 
 
 def star(model: GeneModel, tables: set[str], keep_uncoded: bool = True) -> DataFrame:
-    """The given tables joined around splicing, cds by a left join."""
+    """The given tables joined around splicing, cds by a left join. Transcripts lie
+    in the buckets of splicing, so merging them moves nothing, and they are not
+    broadcast: their packed files look far smaller than what the driver would hold."""
     tables = set(tables)
     if len(tables) > 1 and tables & {"exon", "cds"}:
         tables.add("splicing")
@@ -29,7 +31,7 @@ def star(model: GeneModel, tables: set[str], keep_uncoded: bool = True) -> DataF
         return model[parts[0]]
     df = model.spliced(*parts, keep_uncoded=keep_uncoded) if "splicing" in tables else None
     for name in [t for t in ("transcript", "gene") if t in tables]:
-        df = model[name] if df is None else df.join(model[name], "_tx_id")
+        df = model[name] if df is None else df.join(model[name].hint("merge"), "_tx_id")
     return df
 
 
@@ -53,27 +55,30 @@ def select_rows(model: GeneModel, columns: Sequence[str], filters: Filter | None
     return df.orderBy(*[schema.internal(c) for c in order]) if order else df
 
 
-def _satellites(model: GeneModel, proxy: str, ids: DataFrame, columns: list[str]) -> DataFrame:
-    """The proxy's id and one array for each column of another table."""
+def _with_satellites(model: GeneModel, proxy: str, rows: DataFrame, columns: list[str], chosen: bool) -> DataFrame:
+    """``rows`` of the proxy with one array for each column of another table;
+    ``chosen`` tells that they are not all of them. Joins by the id merge: ids are
+    never broadcast, as millions of them are a few MB packed. What is grouped by
+    the id is dealt by it once, for the choice, the arrays and the last join."""
     key = f"_{schema.PREFIX[proxy]}_id"
     gene = [c for c in columns if schema.owner(c, proxy) == "gene"]
     bundle = [c for c in columns if c not in gene]
-    out = ids.select(key)
+    ids, out = rows.select(key).hint("merge"), rows
     if bundle:
         owners = {schema.owner(c, proxy) for c in bundle}
         by = "exon_rank" if proxy == "transcript" else "_tx_id"
-        rows = star(model, owners | {"splicing"} | ({"transcript"} if "transcript" in owners else set())).join(ids.select(key), key, "left_semi")
-        rows = rows.where(F.col(key).isNotNull())
+        found = star(model, owners | {"splicing"} | ({"transcript"} if "transcript" in owners else set())).where(F.col(key).isNotNull())
+        found = found.join(ids, key, "left_semi") if chosen else found
         fields = [F.col(c).alias(c) for c in bundle]
-        grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("order 1"), F.col("exon_rank").alias("order 2"), *fields))).alias("list"))
-        out = out.join(grouped.select(key, *[F.col(f"list.{c}").alias(c) for c in bundle]), key, "left")
+        grouped = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("order 1"), F.col("exon_rank").alias("order 2"), *fields))).alias("list"))
+        out = out.join(grouped.select(key, *[F.col(f"list.{c}").alias(c) for c in bundle]).hint("merge"), key, "left")
     if gene:
-        rows = model["gene"]
+        found = model["gene"]
         if proxy != "transcript":
-            rows = model["splicing"].where(F.col(key).isNotNull()).select(key, "_tx_id").join(rows, "_tx_id")
-        rows = rows.join(ids.select(key), key, "left_semi").groupBy(key, "gene_id").agg(F.min("_tx_id").alias("first"))
-        grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first", "gene_id"))).alias("list"))
-        out = out.join(grouped.select(key, F.col("list.gene_id").alias("gene_id")), key, "left")
+            found = model["splicing"].where(F.col(key).isNotNull()).select(key, "_tx_id").join(found.hint("merge"), "_tx_id")
+        found = found.join(ids, key, "left_semi") if chosen else found
+        grouped = found.groupBy(key, "gene_id").agg(F.min("_tx_id").alias("first")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first", "gene_id"))).alias("list"))
+        out = out.join(grouped.select(key, F.col("list.gene_id").alias("gene_id")).hint("merge"), key, "left")
     return out
 
 
@@ -91,11 +96,11 @@ def features(model: GeneModel, proxy: str, columns: Sequence[str] | Mapping[str,
     if foreign := {c: v for c, v in found.items() if c not in own}:
         tables = {schema.owner(c, proxy) for c in foreign} | {"splicing" if proxy != "transcript" else "transcript"}
         hits = _where(star(model, tables, keep_uncoded=False), foreign).select(key)
-        rows = rows.join(hits, key, "left_semi")
+        rows = rows.join(hits.hint("merge"), key, "left_semi")
     others = sorted({c for c in asked.values() if c not in own})
     out = rows
     if others:
-        out = rows.join(_satellites(model, proxy, rows, others), key, "left")
+        out = _with_satellites(model, proxy, rows, others, bool(found))
         kinds = {f.name: f.dataType for t in schema.OWNERS for f in schema.TABLES[t].fields}
         out = out.withColumns({c: F.coalesce(c, F.array().cast(f"array<{kinds[c].simpleString()}>")) for c in others})
     core = [F.col(f"{p}_chrom").alias("seqnames"), F.col(f"{p}_start").alias("start"), F.col(f"{p}_end").alias("end"), F.col(f"{p}_strand").alias("strand")]
@@ -120,25 +125,25 @@ def genes(model: GeneModel, columns=("gene_id",), filter: Filter | None = None,
     """One range per gene, chromosome and strand over the gene's transcripts;
     by default only genes with exactly one such range. Other columns are distinct
     sorted arrays per gene."""
-    rows = model["gene"].join(model["transcript"], "_tx_id")
+    rows = model["gene"].join(model["transcript"].hint("merge"), "_tx_id")
     if filter:
         found = _internal(filter)
         own = {c: v for c, v in found.items() if c in rows.columns}
         rows = _where(rows, own)
         if foreign := {c: v for c, v in found.items() if c not in own}:
             hits = _where(star(model, {schema.owner(c) for c in foreign} | {"splicing"}, keep_uncoded=False), foreign)
-            rows = rows.join(hits, "_tx_id", "left_semi")
+            rows = rows.join(hits.hint("merge"), "_tx_id", "left_semi")
     ranges = rows.groupBy("gene_id", F.col("tx_chrom").alias("seqnames"), F.col("tx_strand").alias("strand")).agg(F.min("tx_start").alias("start"), F.max("tx_end").alias("end"))
     ranges = model.shown(ranges)
     if single_strand_genes_only:
         single = ranges.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-        ranges = ranges.join(single, "gene_id", "left_semi")
+        ranges = ranges.join(single.hint("merge"), "gene_id", "left_semi")
     others = [schema.internal(c) for c in columns if schema.internal(c) != "gene_id"]
     if others:
         owners = {schema.owner(c, "transcript") for c in others}
         full = star(model, owners | {"gene", "transcript"})
         lists = full.groupBy("gene_id").agg(*[F.array_sort(F.collect_set(c)).alias(schema.shown(c)) for c in others])
-        ranges = ranges.join(lists, "gene_id", "left")
+        ranges = ranges.join(lists.hint("merge"), "gene_id", "left")
     return model.attached(model.in_order(ranges.select("seqnames", "start", "end", "strand", "gene_id", *[schema.shown(c) for c in others]), "gene_id", "seqnames", "strand"))
 
 

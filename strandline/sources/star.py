@@ -93,7 +93,7 @@ def _bundle(rows: DataFrame, exon: DataFrame, cds: DataFrame) -> DataFrame:
 
 def _transcript(orders: DataFrame, rows: DataFrame) -> DataFrame:
     spans = rows.groupBy("_tx_id").agg(F.min("start").alias("s"), F.max("end").alias("e"))
-    tx = _placed(orders).join(spans, "_tx_id", "left")
+    tx = _placed(orders).join(spans.hint("merge"), "_tx_id", "left")
     return tx.select(
         "_tx_id", F.when(F.col("_tx_id") % 13 != 0, F.concat(F.lit("T"), F.col("_tx_id").cast("string"))).alias("tx_name"), _none().alias("tx_type"),
         F.col("chrom").alias("tx_chrom"), F.col("strand").alias("tx_strand"), F.coalesce("s", "base").alias("tx_start"), F.coalesce("e", F.col("base") + 99).alias("tx_end"),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandline.functions.ranges import dense_ids
-from strandline.operators import coords, coverage, derived, grouped, sequences
+from strandline.operators import coords, coverage, derived, extract, grouped, sequences
 from strandline.plans import catalog
 from strandline.sources import star, store
 
@@ -89,3 +89,26 @@ def test_ids_are_dealt_by_rows(spark, sf_dir):
     rows = star._rows(spark, sf_dir)
     for ids in (star._exon(rows, 7), star._cds(rows, 7)):
         assert any("block" in x and ", 7)" in x and "REPARTITION_BY_NUM" in x for x in plan(ids).splitlines() if "Exchange" in x)
+
+
+def test_features_never_broadcast_ids(spark, sf_dir):
+    """Ten million ids of CDS parts are a few MB packed and 355 MB in the driver."""
+    model = star.stored_model(spark, sf_dir).unordered()
+    some = {"cds_strand": ["+"], "tx_strand": ["+"]}
+    for found in (
+        extract.cds(model, ("cds_id", "tx_id")), extract.cds(model, ("cds_id", "tx_id", "gene_id"), some), extract.exons(model, ("exon_id", "tx_id", "exon_rank")),
+        extract.transcripts(model, ("tx_id", "exon_id", "gene_id")), extract.genes(model, ("gene_id", "tx_id")), extract.genes(model, ("gene_id",), {"exon_rank": [2]}),
+    ):
+        assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+    spans = [x for x in plan(star._transcript(star._orders(spark, sf_dir), star._rows(spark, sf_dir, 4))).splitlines() if "LeftOuter" in x]
+    assert spans and all("SortMergeJoin" in x for x in spans)
+
+
+def test_arrays_of_chosen_features_are_whole(spark, sf_dir):
+    """With and without a choice a feature has the same arrays; one without rows elsewhere has empty ones."""
+    model = star.stored_model(spark, sf_dir).unordered()
+    rows = lambda df: {r["cds_id"]: (tuple(r["tx_id"]), tuple(r["gene_id"])) for r in df.collect()}
+    whole = rows(extract.cds(model, ("cds_id", "tx_id", "gene_id")))
+    part = rows(extract.cds(model, ("cds_id", "tx_id", "gene_id"), {"tx_strand": ["+"]}))
+    assert 0 < len(part) < len(whole) and all(whole[k] == v for k, v in part.items())
+    assert len(whole) == model["cds"].count() and any(not g for _, g in whole.values())
