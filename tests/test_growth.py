@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from strandline.functions.ranges import dense_ids
 from strandline.operators import coords, coverage, derived, extract, grouped, sequences
 from strandline.plans import catalog
-from strandline.sources import star, store
+from strandline.sources import genome, star, store
 
 
 def plan(df):
@@ -112,3 +112,36 @@ def test_arrays_of_chosen_features_are_whole(spark, sf_dir):
     part = rows(extract.cds(model, ("cds_id", "tx_id", "gene_id"), {"tx_strand": ["+"]}))
     assert 0 < len(part) < len(whole) and all(whole[k] == v for k, v in part.items())
     assert len(whole) == model["cds"].count() and any(not g for _, g in whole.values())
+
+
+def test_sequences_are_dealt_by_bases(spark, sf_dir, tmp_path):
+    """Packed sequences may be a hundredth of what a task sorts. Lines are cut where they are
+    read, chunks written where they were put together, and joining to them moves none."""
+    model = star.stored_model(spark, sf_dir).unordered()
+    assert genome.parts_for(spark, 1000 * genome.PART_BASES) == 1000
+    assert "REPARTITION_BY_NUM" in plan(star.genome(model))
+    genome.write_fasta(star.genome(model), f"{tmp_path}/fasta", 500, 9)
+    assert len(list((tmp_path / "fasta").glob("part-*"))) == 9
+    chunks = genome.read_fasta(spark, f"{tmp_path}/fasta", star.CHUNK, 7)
+    moved = [x for x in plan(chunks).splitlines() if "Exchange" in x and "SinglePartition" not in x and "Broadcast" not in x and "(run" not in x]
+    assert len(moved) == 1 and "chunk" in moved[0] and ", 7)" in moved[0] and "REPARTITION_BY_NUM" in moved[0]
+    stored = genome.store_chunks(chunks, f"{tmp_path}/chunks", 7)
+    exons = grouped.exons_by(model, "tx")
+    text = plan(sequences.range_sequences(exons, stored, star.CHUNK))
+    moved = [x for x in text.splitlines() if "Exchange hashpartitioning(seqnames" in x]
+    assert len(moved) == 1 and ", 7)" in moved[0] and "Bucketed: true" in text
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, star.genome(model).collect()))
+
+
+def test_lines_are_cut_over_batches(spark, tmp_path):
+    """Chunks go on from batch to batch, and sequences begin and end inside them."""
+    seqs = {"a": "ACGTTGCAAC" * 7 + "ACG", "b": "T", "c": "GGCCA" * 20}
+    (tmp_path / "x.fa").write_text("".join(f">{n}\n" + "".join(f"{s[i : i + 7]}\n" for i in range(0, len(s), 7)) for n, s in seqs.items()))
+    want = [(n, k, 30 * k + 1, s[30 * k : 30 * k + 30]) for n, s in seqs.items() for k in range(-(-len(s) // 30))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("1", "3", "1000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert sorted(map(tuple, genome.read_fasta(spark, f"{tmp_path}/x.fa", 30, 2).collect())) == want
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
